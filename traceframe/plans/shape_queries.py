@@ -9,6 +9,7 @@ from traceframe.functions.stats import r
 from traceframe.operators import shape_stats as S
 from traceframe.plans import views as V
 from traceframe.plans.registry import query
+from traceframe.session import checkpointed
 
 MIN_N = 4
 
@@ -145,7 +146,8 @@ FROM tp p JOIN tm USING (left_key, right_key, i) GROUP BY 1, 2, 3""",
 def _(spark, d):
     rows = _transitions(spark, d).where("reason IS NULL")
     keys = ["left_key", "right_key"]
-    prof = S.element_median_mad(S.transition_points(rows, keys), keys)
+    # four passes read the points; computing them once is cheaper than four times
+    prof = S.element_median_mad(checkpointed(S.transition_points(rows, keys)), keys)
     return prof.select(*keys, "i", *[r(c, 4).alias(c) for c in ("med_x", "med_y", "mad_x", "mad_y")])
 
 

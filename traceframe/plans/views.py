@@ -188,7 +188,7 @@ def run_rows(spark: SparkSession, directory: str, flag: str | None = None) -> Da
         "side",
         "id",
         "status",
-        F.when(ok, F.col("price") / (n * 1e7)).alias("dtw_xh"),
+        F.when(ok, F.col("price") / (n * 9999991.0)).alias("dtw_xh"),
         F.when(ok, F.col("disc") / (n * 10)).alias("aiou"),
         F.when(ok, F.col("tax") / (n * 100)).alias("chamfer_cand_ref_xh"),
         F.when(ok, F.col("qty") / (n * 50)).alias("chamfer_ref_cand_xh"),
@@ -223,7 +223,7 @@ run_g AS (SELECT l_returnflag AS side, l_partkey AS id, count(*) AS n,
   FROM lineitem GROUP BY 1, 2),
 run_s AS (SELECT *, CASE WHEN n % 7 = 0 THEN 'failed' WHEN n % 5 = 0 THEN 'skipped' ELSE 'ok' END AS status FROM run_g),
 runs AS (SELECT side, id, status,
-  CASE WHEN status = 'ok' THEN price / (n * 1e7) END AS dtw_xh,
+  CASE WHEN status = 'ok' THEN price / (n * 9999991.0) END AS dtw_xh,
   CASE WHEN status = 'ok' THEN disc / (n * 10.0::DOUBLE) END AS aiou,
   CASE WHEN status = 'ok' THEN tax / (n * 100.0::DOUBLE) END AS chamfer_cand_ref_xh,
   CASE WHEN status = 'ok' THEN qty / (n * 50.0::DOUBLE) END AS chamfer_ref_cand_xh,
