@@ -93,16 +93,16 @@ def dense_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, name: str = "pos", start: int = 0
 ) -> DataFrame:
     """Dense index of each row in its group. `bucket` must not decrease along `order` and must keep buckets small."""
-    base = df.withColumn("_b", bucket)
-    counts = base.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_k"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, "_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_o"))
-    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    base = df.withColumn("__b", bucket)
+    counts = base.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__k"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "__b", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__o"))
+    w = Window.partitionBy(*keys, "__b").orderBy(*order)
     return (
-        base.withColumn("_r", F.row_number().over(w))
-        .join(counts, [*keys, "_b"])
-        .withColumn(name, F.col("_o") + F.col("_r") - 1 + start)
-        .drop("_b", "_o", "_r")
+        base.withColumn("__r", F.row_number().over(w))
+        .join(counts, [*keys, "__b"])
+        .withColumn(name, F.col("__o") + F.col("__r") - 1 + start)
+        .drop("__b", "__o", "__r")
     )
 
 
@@ -120,17 +120,17 @@ def dense_rank_of(
     """
     probs = [i / (SPLITS + 1) for i in range(1, SPLITS + 1)]
     v = (-F.col(value) if descending else F.col(value)).cast("double")
-    base = df.withColumn("_v", v)
-    groups = list(keys) or ["_all"]
+    base = df.withColumn("__v", v)
+    groups = list(keys) or ["__all"]
     if not keys:
-        base = base.withColumn("_all", F.lit(0))
+        base = base.withColumn("__all", F.lit(0))
     cuts = base.groupBy(*groups).agg(
-        F.percentile_approx("_v", probs, 1000).alias("_s"), F.percentile_approx(F.col(tie), probs, 1000).alias("_ts")
+        F.percentile_approx("__v", probs, 1000).alias("__s"), F.percentile_approx(F.col(tie), probs, 1000).alias("__ts")
     )
-    cuts = cuts.withColumn("_s", F.array_distinct("_s"))
-    below = F.size(F.filter("_s", lambda s: s < F.col("_v")))
-    on_cut = F.array_contains("_s", F.col("_v"))
-    sub = F.when(on_cut, F.size(F.filter("_ts", lambda s: s < F.col(tie)))).otherwise(0)
+    cuts = cuts.withColumn("__s", F.array_distinct("__s"))
+    below = F.size(F.filter("__s", lambda s: s < F.col("__v")))
+    on_cut = F.array_contains("__s", F.col("__v"))
+    sub = F.when(on_cut, F.size(F.filter("__ts", lambda s: s < F.col(tie)))).otherwise(0)
     bucket = F.struct((below * 2 + on_cut.cast("int")).alias("b"), sub.alias("s"))
-    ranked = dense_position(base.join(F.broadcast(cuts) if not keys else cuts, groups), groups, ["_v", tie], bucket, name, start)
-    return ranked.drop("_v", "_s", "_ts", "_all")
+    ranked = dense_position(base.join(F.broadcast(cuts) if not keys else cuts, groups), groups, ["__v", tie], bucket, name, start)
+    return ranked.drop("__v", "__s", "__ts", "__all")
