@@ -1,4 +1,4 @@
 """All registered queries; importing the query modules fills the registry."""
 
-from traceframe.plans import check_queries, label_queries, run_queries, shape_queries, source_queries  # noqa: F401
+from traceframe.plans import check_queries, label_queries, run_queries, shape_queries, source_queries, word_queries  # noqa: F401
 from traceframe.plans.registry import QUERIES, SQL  # noqa: F401

@@ -318,7 +318,7 @@ lb AS (SELECT * FROM deal WHERE place < 600),
 cm AS (SELECT glyph FROM lb GROUP BY 1 HAVING count(*) >= 6),
 pk AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY (doc_id * 2654435761) % 4294967296, doc_id) AS pr FROM lb WHERE glyph IN (SELECT glyph FROM cm) AND glyph <> 'g3' AND place < (SELECT count(*) FROM lb) - 40 - 25),
 ps AS (SELECT * FROM pk ORDER BY pr, band LIMIT 24),
-sq AS (SELECT doc_id, CAST(place AS DOUBLE) AS at, NULL AS first_place FROM lb UNION ALL SELECT doc_id, place + 40 + (doc_id * 2654435761) % 26 - 0.5::DOUBLE, place FROM ps)"""
+sq AS (SELECT doc_id, CAST(place AS DOUBLE) AS at_, NULL AS first_place FROM lb UNION ALL SELECT doc_id, place + 40 + (doc_id * 2654435761) % 26 - 0.5::DOUBLE, place FROM ps)"""
 
 
 def _picks(spark, d):
@@ -335,7 +335,7 @@ def _(spark, d):
     "wn03_sequence_gaps",
     V.with_views(
         REPEATS,
-        """fin AS (SELECT doc_id, first_place, row_number() OVER (ORDER BY at, doc_id) - 1 AS s FROM sq)""",
+        """fin AS (SELECT doc_id, first_place, row_number() OVER (ORDER BY at_, doc_id) - 1 AS s FROM sq)""",
         body="SELECT b.doc_id, b.s AS sequence, b.s - a.s AS gap FROM fin b JOIN fin a ON a.doc_id = b.doc_id AND a.first_place IS NULL WHERE b.first_place IS NOT NULL",
     ),
 )
