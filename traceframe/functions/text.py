@@ -74,8 +74,30 @@ def letter_class(word: Column) -> Column:
     return F.translate(F.lower(word), "".join(letters), "".join(root(c) for c in letters))
 
 
+_LETTERS = sorted({c for p in CONFUSABLE for c in p})
+_LOW = (1 << len(_LETTERS)) - 1
+
+
+def letter_codes(word: Column) -> Column:
+    """Lower-case letters as numbers: code point, own bit and the bits of the letters they are confused with.
+
+    Two codes are equal for equal letters; letters are confusable when one's mask holds the other's bit.
+    """
+    n = len(_LETTERS)
+    codes = {}
+    for i, c in enumerate(_LETTERS):
+        mask = sum(1 << _LETTERS.index(b if a == c else a) for a, b in CONFUSABLE if c in (a, b))
+        codes[c] = ord(c) | (1 << i) << 21 | mask << (21 + n)
+    lookup = F.create_map(*[F.lit(v) for kv in codes.items() for v in kv])
+    return F.transform(F.split(F.lower(word), ""), lambda c: F.coalesce(F.element_at(lookup, c), F.ascii(c).cast("bigint")))
+
+
 def difference_score(a: Column, b: Column) -> Column:
-    """Sum over equal-length lower-case letter arrays: 0 same, +1 confusable, -2 any other difference."""
-    pairs = F.array(*[F.lit(x + y) for p in CONFUSABLE for x, y in (p, p[::-1])])
-    steps = F.zip_with(a, b, lambda x, y: F.when(x == y, 0).when(F.array_contains(pairs, F.concat(x, y)), 1).otherwise(-2))
-    return F.aggregate(steps, F.lit(0), lambda s, v: s + v)
+    """Sum over equal-length letter codes: 0 same, +1 confusable, -2 any other difference."""
+    n = len(_LETTERS)
+
+    def step(x: Column, y: Column) -> Column:
+        hit = F.shiftright(x, 21 + n).bitwiseAND(F.shiftright(y, 21)).bitwiseAND(F.lit(_LOW))
+        return F.when(x == y, 0).when(hit != 0, 1).otherwise(-2)
+
+    return F.aggregate(F.zip_with(a, b, step), F.lit(0), lambda s, v: s + v)

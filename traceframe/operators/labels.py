@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from traceframe.functions.ordered import dense_rank_of
 from traceframe.functions.quantiles import exact_quantiles
 from traceframe.functions.stats import hanley_mcneil_se
+from traceframe.session import checkpointed
 from traceframe.sources.readers import CODES, FINDINGS
 
 MIN_POSITIVES = 8
@@ -320,8 +321,9 @@ def select_identities(judgements: DataFrame, identity: str, wanted: Sequence[str
 def stratified(rows: DataFrame, value: str, id_col: str, bands: int, n_label: int, shuffle_key: Column) -> DataFrame:
     """Deal rows across severity bands: rank worst first, cut into bands, shuffle inside a band by a seeded key, deal
     round robin. Any prefix spans all bands; the first `n_label` are the label set, the rest is the reserve."""
-    ranked = dense_rank_of(rows, [], value, id_col, "rank", descending=True)
-    n = rows.agg(F.count(F.lit(1)).alias("_n"))
+    # each ranking reads its input several times, so the chain is cut after the first one
+    ranked = checkpointed(dense_rank_of(rows, [], value, id_col, "rank", descending=True))
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
     j = ranked.join(F.broadcast(n), F.lit(True)).withColumn("_size", F.ceil(F.col("_n") / bands))
     j = j.withColumn("band", F.floor(F.col("rank") / F.col("_size")).cast("int")).withColumn("_h", shuffle_key)
     dealt = dense_rank_of(j, ["band"], "_h", id_col, "_turn")
@@ -330,7 +332,8 @@ def stratified(rows: DataFrame, value: str, id_col: str, bands: int, n_label: in
     short = F.col("_n") - F.col("_size") * (used - 1)
     place = F.col("_turn") * (used - 1) + F.least(F.col("_turn"), short) + F.col("band")
     out = dealt.withColumn("place", place.cast("bigint"))
-    return out.withColumn("set", F.when(F.col("place") < n_label, "label").otherwise("reserve")).drop("_n", "_size", "_h", "_turn")
+    out = out.withColumn("set", F.when(F.col("place") < n_label, "label").otherwise("reserve"))
+    return checkpointed(out.drop("_n", "_size", "_h", "_turn"))
 
 
 REPEAT_MIN_COUNT = 6

@@ -18,7 +18,7 @@ def tokens(words: DataFrame, keys: Sequence[str], word: str) -> DataFrame:
     Positions count inside a run of tokens that all join or all stand apart. A deferred s is long unless it ends its run
     or the marker follows it. A straight quote has no key yet: it depends on the quotes before it in its text.
     """
-    raw = words.select(*keys, F.posexplode(F.regexp_extract_all(word, F.lit(X.TOKENS), 1)).alias("i", "tok"))
+    raw = words.select(*keys, F.posexplode_outer(F.regexp_extract_all(word, F.lit(X.TOKENS), 1)).alias("i", "tok"))
     raw = raw.where(F.col("tok") != X.MARKER)
     raw = raw.select(*keys, "i", X.strip_marker(F.col("tok")).alias("text"), F.col("tok").endswith(X.MARKER).alias("_round"))
     reg = F.broadcast(X.registry(words.sparkSession))
@@ -114,25 +114,27 @@ def _pieces(words: DataFrame) -> DataFrame:
         hi = F.floor((j + 1) * F.col("len") / n).cast("int")
         return F.substring(cls, lo + 1, hi - lo)
 
-    return words.withColumn("pieces", F.transform(F.sequence(F.lit(0), n - 1), piece))
+    return words.withColumn("pieces", F.transform(F.sequence(F.lit(0), n - 1), piece)).withColumn("code", X.letter_codes(F.col("w")))
 
 
 def equal_length_pairs(answers: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(answer, candidate, score) of equal length with a positive score; every such pair appears exactly once.
 
+    The outer explode keeps Spark from inferring a size filter, which it would evaluate on every raw word.
+
     Pairs meet on an aligned piece of letter classes and are kept at the first piece they share.
     """
     a = _pieces(_features(answers, "word"))
     b = _pieces(_features(lexicon, "word"))
-    a = a.select("cap", "len", F.col("w").alias("answer"), F.col("f").alias("af"), F.col("l").alias("al"), F.col("pieces").alias("ap"), F.posexplode("pieces").alias("j", "piece"))
-    b = b.select("cap", "len", F.col("w").alias("candidate"), F.col("f").alias("bf"), F.col("l").alias("bl"), F.col("pieces").alias("bp"), F.posexplode("pieces").alias("j", "piece"))
+    a = a.select("cap", "len", F.col("w").alias("answer"), F.col("f").alias("af"), F.col("l").alias("al"), F.col("code").alias("ac"), F.col("pieces").alias("ap"), F.posexplode_outer("pieces").alias("j", "piece"))
+    b = b.select("cap", "len", F.col("w").alias("candidate"), F.col("f").alias("bf"), F.col("l").alias("bl"), F.col("code").alias("bc"), F.col("pieces").alias("bp"), F.posexplode_outer("pieces").alias("j", "piece"))
     m = a.join(b, ["cap", "len", "j", "piece"]).where(
         ((F.col("af") == F.col("bf")) | (F.col("al") == F.col("bl"))) & (F.col("answer") != F.col("candidate"))
     )
     earlier = F.exists(F.slice(F.zip_with("ap", "bp", lambda x, y: x == y), F.lit(1), F.col("j")), lambda e: e)
     m = m.where((F.col("j") == 0) | ~earlier)
     ends = 2 * (F.col("af") == F.col("bf")).cast("int") + 2 * (F.col("al") == F.col("bl")).cast("int")
-    score = ends + X.difference_score(F.split(F.lower("answer"), ""), F.split(F.lower("candidate"), ""))
+    score = ends + X.difference_score(F.col("ac"), F.col("bc"))
     return m.select("answer", "candidate", score.alias("score")).where(F.col("score") > 0)
 
 

@@ -441,8 +441,9 @@ px AS (SELECT l_suppkey AS mask_id, l_returnflag AS side, CAST(l_partkey % 64 AS
 def words(spark: SparkSession, directory: str) -> DataFrame:
     """Every distinct word of the documents with its count."""
     d = table(spark, directory, "documents")
-    w = d.select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # outer: a plain explode would add a size filter and run the pattern twice over every text
+    w = d.select(F.explode_outer(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    return w.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 WORDS = r"""

@@ -63,7 +63,7 @@ word AS (SELECT DISTINCT unnest(string_split_regex(trim(regexp_replace(text, '\s
 )
 def _(spark, d):
     """Context-dependent and detached tokens over whitespace-separated chunks, with their punctuation."""
-    docs = V.table(spark, d, "documents").select(F.explode(F.split(X.squeeze(F.col("text")), " ")).alias("word")).distinct()
+    docs = V.table(spark, d, "documents").select(F.explode_outer(F.split(X.squeeze(F.col("text")), " ")).alias("word")).distinct()
     t = Wd.tokens(docs, ["word"], "word").where(F.col("text").isin("s", "ſ") | ~F.col("joins"))
     return t.groupBy("text", "key", "position", "joins").agg(F.count(F.lit(1)).alias("n"))
 
@@ -158,7 +158,7 @@ def _(spark, d):
 
 def _answers(spark, d):
     b = V.table(spark, d, "benchmark")
-    return b.select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("word")).distinct()
+    return b.select(F.explode_outer(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("word")).where("word IS NOT NULL").distinct()
 
 
 LOOK = r"""
