@@ -6,11 +6,11 @@ edge rows; running totals and carried values come from a window per chunk plus o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 CHUNK = 1 << 16
 
@@ -19,11 +19,15 @@ def _chunk(pos: str, chunk: int) -> Column:
     return F.floor(F.col(pos) / chunk).cast("bigint")
 
 
-def neighbours(
-    df: DataFrame, keys: Sequence[str], pos: str, wanted: dict[str, tuple[str, int]], chunk: int = CHUNK
+def windowed(
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    reach: int,
+    columns: dict[str, Callable[[WindowSpec], Column]],
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """Add columns from other positions: {name: (column, offset)}; null beyond the ends."""
-    reach = max(abs(o) for _, o in wanted.values())
+    """Add window columns that look at most `reach` positions around: {name: function of the ordered window}."""
     inside = F.col(pos) % chunk
     home = _chunk(pos, chunk)
     copies = F.array_compact(
@@ -35,11 +39,22 @@ def neighbours(
     )
     w = Window.partitionBy(*keys, "_c").orderBy(pos)
     spread = df.withColumn("_home", home).withColumn("_c", F.explode(copies))
-    for name, (column, offset) in wanted.items():
-        spread = spread.withColumn(name, (F.lead(column, offset) if offset > 0 else F.lag(column, -offset)).over(w))
+    spread = spread.select("*", *[fn(w).alias(name) for name, fn in columns.items()])
     return spread.where(F.col("_c") == F.col("_home")).drop("_c", "_home")
 
 
+def neighbours(
+    df: DataFrame, keys: Sequence[str], pos: str, wanted: dict[str, tuple[str, int]], chunk: int = CHUNK
+) -> DataFrame:
+    """Add columns from other positions: {name: (column, offset)}; null beyond the ends."""
+
+    def at(column: str, offset: int) -> Callable[[WindowSpec], Column]:
+        return lambda w: (F.lead(column, offset) if offset > 0 else F.lag(column, -offset)).over(w)
+
+    reach = max(abs(o) for _, o in wanted.values())
+    return windowed(df, keys, pos, reach, {n: at(c, o) for n, (c, o) in wanted.items()}, chunk)
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], pos: str, totals: dict[str, Column | str], chunk: int = CHUNK
 ) -> DataFrame:
@@ -61,6 +76,19 @@ def running_total(
     return out.drop("_c", *[f"_o_{n}" for n in cols])
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], pos: str, value: str, name: str, chunk: int = CHUNK
+) -> DataFrame:
+    """Add the largest value strictly before each position; null at the first."""
+    base = df.withColumn("_c", _chunk(pos, chunk))
+    w = Window.partitionBy(*keys, "_c").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    tops = base.groupBy(*keys, "_c").agg(F.max(value).alias("_m"))
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "_c", F.max("_m").over(before).alias("_m"))
+    local = base.withColumn("_l", F.max(value).over(w)).join(tops, [*keys, "_c"])
+    return local.withColumn(name, F.greatest("_l", "_m")).drop("_c", "_l", "_m")
+
+
 def carried(
     df: DataFrame, keys: Sequence[str], pos: str, wanted: dict[str, str], backward: bool = False, chunk: int = CHUNK
 ) -> DataFrame:
