@@ -1,7 +1,8 @@
 """Ordered operations along a dense position that never put a whole series into one task.
 
 A series is cut into chunks of consecutive positions. Neighbours come from a window per chunk plus a halo of copied
-edge rows; running totals and carried values come from a window per chunk plus one summary row per chunk.
+edge rows; running totals and carried values come from a window per chunk plus one summary row per chunk. The summaries are taken from the already windowed rows: they
+need no exchange of their own, and Spark reuses the one exchange for both sides of the join back.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def running_total(
     local = base
     for name, value in cols.items():
         local = local.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    sums = base.groupBy(*keys, "_c").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in cols.items()])
+    sums = local.groupBy(*keys, "_c").agg(*[F.max_by(n, pos).alias(f"_t_{n}") for n in cols])
     before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *keys, "_c", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in cols]
@@ -82,11 +83,11 @@ def running_max(
     """Add the largest value strictly before each position; null at the first."""
     base = df.withColumn("_c", _chunk(pos, chunk))
     w = Window.partitionBy(*keys, "_c").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    tops = base.groupBy(*keys, "_c").agg(F.max(value).alias("_m"))
+    local = base.withColumn("_l", F.max(value).over(w))
+    tops = local.groupBy(*keys, "_c").agg(F.max(value).alias("_m"))
     before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select(*keys, "_c", F.max("_m").over(before).alias("_m"))
-    local = base.withColumn("_l", F.max(value).over(w)).join(tops, [*keys, "_c"])
-    return local.withColumn(name, F.greatest("_l", "_m")).drop("_c", "_l", "_m")
+    return local.join(tops, [*keys, "_c"]).withColumn(name, F.greatest("_l", "_m")).drop("_c", "_l", "_m")
 
 
 def carried(
@@ -100,12 +101,7 @@ def carried(
     for name, column in wanted.items():
         local = local.withColumn(name, F.last(column, ignorenulls=True).over(w))
     pick = F.min_by if backward else F.max_by
-    ends = base.groupBy(*keys, "_c").agg(
-        *[
-            pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_e_{n}")
-            for n, c in wanted.items()
-        ]
-    )
+    ends = local.groupBy(*keys, "_c").agg(*[pick(n, pos).alias(f"_e_{n}") for n in wanted])
     corder = F.col("_c").desc() if backward else F.col("_c").asc()
     before = Window.partitionBy(*keys).orderBy(corder).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(
@@ -122,13 +118,13 @@ def dense_position(
 ) -> DataFrame:
     """Dense index of each row in its group. `bucket` must not decrease along `order` and must keep buckets small."""
     base = df.withColumn("__b", bucket)
-    counts = base.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__k"))
+    w = Window.partitionBy(*keys, "__b").orderBy(*order)
+    numbered = base.withColumn("__r", F.row_number().over(w))
+    counts = numbered.groupBy(*keys, "__b").agg(F.max("__r").alias("__k"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, "__b", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__o"))
-    w = Window.partitionBy(*keys, "__b").orderBy(*order)
     return (
-        base.withColumn("__r", F.row_number().over(w))
-        .join(counts, [*keys, "__b"])
+        numbered.join(counts, [*keys, "__b"])
         .withColumn(name, F.col("__o") + F.col("__r") - 1 + start)
         .drop("__b", "__o", "__r")
     )
@@ -153,9 +149,13 @@ def dense_rank_of(
     if not keys:
         base = base.withColumn("__all", F.lit(0))
     cuts = base.groupBy(*groups).agg(
-        F.percentile_approx("__v", probs, 1000).alias("__s"), F.percentile_approx(F.col(tie), probs, 1000).alias("__ts")
+        F.percentile_approx("__v", probs, 1000).alias("__s"),
+        F.percentile_approx(F.col(tie), probs, 1000).alias("__ts"),
+        F.count(F.lit(1)).alias("__n"),
     )
-    cuts = cuts.withColumn("__s", F.array_distinct("__s"))
+    # a group that fits one task is one range
+    cut = F.when(F.col("__n") > CHUNK, F.array_distinct("__s")).otherwise(F.array().cast("array<double>"))
+    cuts = cuts.withColumn("__s", cut).drop("__n")
     below = F.size(F.filter("__s", lambda s: s < F.col("__v")))
     on_cut = F.array_contains("__s", F.col("__v"))
     sub = F.when(on_cut, F.size(F.filter("__ts", lambda s: s < F.col(tie)))).otherwise(0)

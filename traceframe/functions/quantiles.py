@@ -1,8 +1,9 @@
 """Exact grouped quantiles that stay exact and spread out when one group is huge.
 
-`median()` keeps every distinct value of a group in one aggregation buffer. Here a mergeable sketch first gives
-a bracket around each wanted rank, rows outside the bracket shrink to one counter by map-side combining, and only
-the bracket is ordered. The sketch never decides the answer: ranks are counted, so the result is exact.
+`median()` keeps every distinct value of a group in one aggregation buffer. The largest group is therefore counted first.
+Up to SMALL_GROUP values a group is one sorted array. Beyond that a mergeable sketch gives a bracket around each wanted
+rank, rows outside the bracket shrink to one counter by map-side combining, and only the bracket is ordered. The sketch
+never decides the answer: ranks are counted, so the result is exact.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ACCURACY = 10_000
-SMALL_GROUP = ACCURACY // 4
+SMALL_GROUP = 50_000
+EXACT_SKETCH = ACCURACY // 4
 
 
 def _position(q: float, rule: str, n: Column) -> Column:
@@ -31,6 +33,25 @@ def _position(q: float, rule: str, n: Column) -> Column:
     raise ValueError(f"unknown quantile rule {rule!r}")
 
 
+def _largest_group(base: DataFrame, groups: Sequence[str]) -> int:
+    """Rows of the largest group; one cheap counting job."""
+    n = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return n or 0
+
+
+def _sorted_groups(base: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, _a sorted values, _n) for groups whose size has been checked."""
+    g = base.groupBy(*groups).agg(F.sort_array(F.collect_list("_v")).alias("_values"))
+    return g.withColumn("_n", F.size("_values").cast("bigint"))
+
+
+def _at_position(pos: Column, values: str = "_values") -> Column:
+    """Value of a sorted array at a fractional position."""
+    lo = F.get(values, F.floor(pos).cast("int"))
+    hi = F.get(values, F.ceil(pos).cast("int"))
+    return lo + (hi - lo) * (pos - F.floor(pos))
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -49,12 +70,16 @@ def exact_quantiles(
     base = df.select(*(keys or [F.lit(0).alias("_all")]), value.cast("double").alias("_v")).where(
         F.col("_v").isNotNull()
     )
+    if _largest_group(base, groups) <= SMALL_GROUP:
+        g = _sorted_groups(base, groups)
+        out = [_at_position(_position(q, rule, F.col("_n").cast("double"))).alias(name) for name, q, rule in specs]
+        return g.select(*keys, *out, *([F.col("_n").alias(count_name)] if count_name else []))
     slack = 2.0 / ACCURACY
     ends = [e for _, q, _ in specs for e in (max(0.0, q - slack), min(1.0, q + slack))]
     sketch = base.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_s")
     )
-    small = F.col("_n") <= SMALL_GROUP
+    small = F.col("_n") <= EXACT_SKETCH
     tags = []
     for i in range(len(specs)):
         lo = F.when(small, F.lit(-math.inf)).otherwise(F.col("_s")[2 * i])
@@ -106,6 +131,12 @@ def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], su
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str, names: tuple[str, str]) -> DataFrame:
     """Exact median and exact median absolute deviation per key."""
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if _largest_group(base, keys) <= SMALL_GROUP:
+        half = (F.col("_n") - 1) / 2
+        g = _sorted_groups(base, keys).withColumn("_med", _at_position(half))
+        g = g.withColumn("_d", F.sort_array(F.transform("_values", lambda v: F.abs(v - F.col("_med")))))
+        return g.select(*keys, F.col("_med").alias(names[0]), _at_position(half, "_d").alias(names[1]))
     med = exact_quantiles(df, keys, value, {names[0]: 0.5})
     dev = df.join(med, list(keys)).select(*keys, names[0], F.abs(F.col(value) - F.col(names[0])).alias("_dev"))
     return exact_quantiles(dev, [*keys, names[0]], "_dev", {names[1]: 0.5})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from traceframe.functions.ordered import carried, dense_rank_of, neighbours, running_max, running_total, windowed
 from traceframe.functions.quantiles import exact_quantiles
 from traceframe.operators.resample import resample_to, with_arc
+from traceframe.session import checkpointed
 
 STROKE = ["case_id", "stroke"]
 STEP_RATIO = 3.0
@@ -88,7 +89,7 @@ def islands(rows: DataFrame, keys: Sequence[str], pos: str, flag: str, min_len:
 
 def gap_clusters(boxes: DataFrame, keys: Sequence[str], gap: float, id_col: str) -> DataFrame:
     """Cluster number of interval boxes (x0, x1): a new one starts when x0 - running max x1 >= gap."""
-    o = dense_rank_of(boxes, keys, "x0", id_col, "_at")
+    o = checkpointed(dense_rank_of(boxes, keys, "x0", id_col, "_at"))
     m = running_max(o, keys, "_at", "x1", "_end")
     new = F.coalesce((F.col("x0") - F.col("_end") >= gap).cast("int"), F.lit(0))
     return running_total(m, keys, "_at", {"cluster": new}).drop("_at", "_end")

@@ -114,7 +114,7 @@ def _pieces(words: DataFrame) -> DataFrame:
         hi = F.floor((j + 1) * F.col("len") / n).cast("int")
         return F.substring(cls, lo + 1, hi - lo)
 
-    return words.withColumn("pieces", F.transform(F.sequence(F.lit(0), n - 1), piece)).withColumn("code", X.letter_codes(F.col("w")))
+    return words.withColumn("pieces", F.transform(F.sequence(F.lit(0), n - 1), piece)).withColumns({"code": X.letter_codes(F.col("w")), "cls": cls})
 
 
 def equal_length_pairs(answers: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -126,11 +126,13 @@ def equal_length_pairs(answers: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     a = _pieces(_features(answers, "word"))
     b = _pieces(_features(lexicon, "word"))
-    a = a.select("cap", "len", F.col("w").alias("answer"), F.col("f").alias("af"), F.col("l").alias("al"), F.col("code").alias("ac"), F.col("pieces").alias("ap"), F.posexplode_outer("pieces").alias("j", "piece"))
-    b = b.select("cap", "len", F.col("w").alias("candidate"), F.col("f").alias("bf"), F.col("l").alias("bl"), F.col("code").alias("bc"), F.col("pieces").alias("bp"), F.posexplode_outer("pieces").alias("j", "piece"))
+    a = a.select("cap", "len", F.col("w").alias("answer"), F.col("f").alias("af"), F.col("l").alias("al"), F.col("code").alias("ac"), F.col("cls").alias("acls"), F.col("pieces").alias("ap"), F.posexplode_outer("pieces").alias("j", "piece"))
+    b = b.select("cap", "len", F.col("w").alias("candidate"), F.col("f").alias("bf"), F.col("l").alias("bl"), F.col("code").alias("bc"), F.col("cls").alias("bcls"), F.col("pieces").alias("bp"), F.posexplode_outer("pieces").alias("j", "piece"))
     m = a.join(b, ["cap", "len", "j", "piece"]).where(
         ((F.col("af") == F.col("bf")) | (F.col("al") == F.col("bl"))) & (F.col("answer") != F.col("candidate"))
     )
+    # edit distance never exceeds the number of differing places, and stops early beyond the limit
+    m = m.where(F.expr("levenshtein(acls, bcls, int(floor((len + 1) / 3))) >= 0"))
     earlier = F.exists(F.slice(F.zip_with("ap", "bp", lambda x, y: x == y), F.lit(1), F.col("j")), lambda e: e)
     m = m.where((F.col("j") == 0) | ~earlier)
     ends = 2 * (F.col("af") == F.col("bf")).cast("int") + 2 * (F.col("al") == F.col("bl")).cast("int")
