@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from traceframe.functions import text as X
 from traceframe.functions.ordered import running_total
+from traceframe.session import checkpointed
 
 
 def tokens(words: DataFrame, keys: Sequence[str], word: str) -> DataFrame:
@@ -155,16 +156,15 @@ def other_length_heads(answers: DataFrame, lexicon: DataFrame, k: int) -> DataFr
     a = _features(answers, "word").select(F.col("w").alias("answer"), "cap", F.col("len").alias("for_len"), F.col("f").alias("af"), F.col("l").alias("al"))
     near = _near_length(_features(lexicon, "word"))
     group = ["cap", "for_len", "f", "l"]
-    heads = _heads(near, group, k)
+    heads = checkpointed(_heads(near, group, k))
     both = a.join(heads, (a.cap == heads.cap) & (a.for_len == heads.for_len) & (a.af == heads.f) & (a.al == heads.l)).select(
         "answer", F.col("w").alias("candidate"), F.lit(3).alias("score")
     )
     out = both
     for shared, other in (("f", "l"), ("l", "f")):
         # one table per (shared end, excluded other end): its size depends on the alphabet, not on the data
-        ends = heads.select("cap", "for_len", shared, F.col(other).alias("_skip")).distinct()
         excl = a.select("cap", "for_len", F.col(f"a{shared}").alias(shared), F.col(f"a{other}").alias("_skip")).distinct()
-        table = heads.join(excl.unionByName(ends).distinct(), ["cap", "for_len", shared]).where(F.col("_skip") != F.col(other))
+        table = heads.join(excl, ["cap", "for_len", shared]).where(F.col("_skip") != F.col(other))
         table = _heads(table, ["cap", "for_len", shared, "_skip"], k).select("cap", "for_len", shared, "_skip", "w")
         one = a.select("answer", "cap", "for_len", F.col(f"a{shared}").alias(shared), F.col(f"a{other}").alias("_skip")).join(
             table, ["cap", "for_len", shared, "_skip"]
@@ -175,6 +175,8 @@ def other_length_heads(answers: DataFrame, lexicon: DataFrame, k: int) -> DataFr
 
 def best_lookalikes(answers: DataFrame, lexicon: DataFrame, k: int = 4) -> DataFrame:
     """Top k look-alikes per answer by (score desc, text)."""
+    # both word lists are read several times and come from whole texts
+    answers, lexicon = checkpointed(answers.select("word")), checkpointed(lexicon.select("word"))
     pairs = equal_length_pairs(answers, lexicon).unionByName(other_length_heads(answers, lexicon, k))
     w = Window.partitionBy("answer").orderBy(F.col("score").desc(), "candidate")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
@@ -182,6 +184,7 @@ def best_lookalikes(answers: DataFrame, lexicon: DataFrame, k: int = 4) -> DataF
 
 def plausible_counts(answers: DataFrame, lexicon: DataFrame) -> DataFrame:
     """How many plausible look-alikes each answer has. Other lengths are counted from group sizes, not from pairs."""
+    answers, lexicon = checkpointed(answers.select("word")), checkpointed(lexicon.select("word"))
     a = _features(answers, "word").select(F.col("w").alias("answer"), "cap", F.col("len").alias("for_len"), "f", "l")
     near = _near_length(_features(lexicon, "word"))
     out = a
