@@ -254,7 +254,7 @@ def append_run(spark: SparkSession, root: str, artifacts: DataFrame, stamp: str,
     """File the artifacts of one run under (stamp, slugged label); empty or repeated names and existing runs are refused."""
     checked = artifacts.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("body")).alias("short"))
     flaws = checked.agg(
-        F.count(F.lit(1)).alias("names"), F.count_if("n > 1").alias("twice"), F.count_if(F.coalesce("short", F.lit(0)) == 0).alias("empty")
+        F.count(F.lit(1)).alias("names"), F.count_if(F.col("n") > 1).alias("twice"), F.count_if(F.coalesce("short", F.lit(0)) == 0).alias("empty")
     ).first()
     if flaws["names"] == 0 or flaws["twice"] or flaws["empty"]:
         raise ValueError(f"artifacts refused: {flaws.asDict()}")
