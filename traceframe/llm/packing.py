@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from traceframe.llm.common import grouped, stored
 
+PIECES = "piece int, start long, length long, ids_crc32 long"
+PACKED = "sequence_id long, offset long"
 #: Memos of a worker process are emptied at this number of entries. It bounds memory only.
 MEMO_ENTRIES = 800_000
 # The pre-tokenizer's pattern, and the characters whose lower case and normal form are one character each.
