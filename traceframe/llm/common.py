@@ -114,3 +114,100 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "component")
         if not moved:
             return labels
+
+
+# Fixed values of the word hash: any odd multiplier of 64 bits does; its inverse follows.
+_BASE = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+_SEGMENT = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Tables:
+    """Byte values and powers for the word hash; the powers grow with the longest segment met."""
+
+    def __init__(self) -> None:
+        lowered = np.arange(256, dtype=np.uint64)
+        lowered[65:91] += np.uint64(32)
+        self.value = {True: mix(lowered + np.uint64(1)), False: mix(np.arange(1, 257, dtype=np.uint64))}
+        self.space = np.zeros(256, dtype=bool)
+        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def reach(self, n: int) -> None:
+        if n > len(self.up):
+            self.up, self.down = _powers(_BASE, n + 1024), _powers(pow(_BASE, -1, 1 << 64), n + 1024)
+
+
+_tables = _Tables()
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column without copying texts; a null is empty."""
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
+    _, offsets, data = column.buffers()
+    cut = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return raw[cut[0] : cut[-1]], cut - cut[0]
+
+
+def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, first byte, end byte) of every word of every text, in order; bytes count from the start of the column.
+
+    A word's hash is a polynomial over its bytes (A-Z lower-cased if `lower`). Bytes are worked off in segments that end
+    between words, so memory does not follow the length of a text.
+    """
+    raw, cut = text_bytes(column)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    lo, n = 0, len(raw)
+    edge = np.unique(cut)
+    while lo < n:
+        hi = min(lo + _SEGMENT, n)
+        while hi < n and not _tables.space[raw[hi - 1]]:  # up to a white space or the end of the text
+            end = int(edge[np.searchsorted(edge, hi)])
+            gap = np.flatnonzero(_tables.space[raw[hi : min(end, hi + _SEGMENT)]])
+            hi = hi + int(gap[0]) + 1 if len(gap) else min(end, hi + _SEGMENT)
+            if hi == end:
+                break
+        b = raw[lo:hi]
+        _tables.reach(len(b))
+        solid = ~_tables.space[b]
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        inner = edge[(edge > lo) & (edge < hi)] - lo
+        first[inner] = solid[inner]
+        last = solid.copy()
+        last[:-1] &= ~solid[1:]
+        last[inner - 1] = solid[inner - 1]
+        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        total = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum(_tables.value[lower][b] * _tables.up[: len(b)], out=total[1:])
+        out.append((mix((total[e] - total[s]) * _tables.down[s]), s + lo, e + lo))
+        lo = hi
+    if not out:
+        empty = np.zeros(0, dtype=np.int64)
+        return empty.astype(np.uint64), empty, empty, empty
+    hashes, start, end = (np.concatenate(x) for x in zip(*out))
+    return hashes, np.searchsorted(cut, start, side="right") - 1, start, end
+
+
+def row_slices(rows: np.ndarray, n: int) -> np.ndarray:
+    """Cuts of an array whose sorted `rows` run from 0 to n - 1: entries of row i are cuts[i] to cuts[i + 1]."""
+    return np.searchsorted(rows, np.arange(n + 1))
+
+
+def pieces_of(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `limit` bytes of text in `column`; a longer text stands alone."""
+    _, cut = text_bytes(batch.column(column))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + limit, side="right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
