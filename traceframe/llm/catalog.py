@@ -1,4 +1,4 @@
 """All corpus queries; importing the query modules fills the registry."""
 
-from traceframe.llm import neardup_queries, packing_queries, rules_queries, urls_queries, warc_queries  # noqa: F401
+from traceframe.llm import neardup_queries, packing_queries, rules_queries, units_queries, urls_queries, warc_queries  # noqa: F401
 from traceframe.llm.registry import QUERIES, SQL  # noqa: F401
