@@ -48,8 +48,6 @@ class _Encoder(dict):
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     def learn(self, words: list[str]) -> None:
-        if len(self) + len(words) > MEMO_ENTRIES:
-            self.clear()
         if len(self.runs) > MEMO_ENTRIES:
             self.runs.clear()
         cut, new = {}, set()
@@ -74,6 +72,8 @@ class _Encoder(dict):
 
     def document(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
         missing = [w for w in set(words) if w not in self]
         if missing:
             self.learn(missing)
