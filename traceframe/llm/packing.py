@@ -8,13 +8,13 @@ per group, which is a few in ten thousand at the default size.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +22,22 @@ from traceframe.llm.common import grouped, stored
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 PACKED = "sequence_id long, offset long"
-#: Memos of a worker process are emptied at this number of entries. It bounds memory only.
+#: The memo of a worker process is emptied before a document when it has more entries. It bounds memory only.
 MEMO_ENTRIES = 800_000
-# The pre-tokenizer's pattern, and the characters whose lower case and normal form are one character each.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-SIMPLE = regex.compile("[!-~\u00a1-\u012f\u0131-\u017e]*")
+# The pre-tokenizer's pattern, written out for the characters of SIMPLE in lower case; those are the ones whose
+# lower case and normal form are one character each.
+_LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017e"
+_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \\t\\n\\r{_LETTERS}{_NUMBERS}]+")
+SIMPLE = re.compile("[ \\t\\n\\r!-~\u00a1-\u012f\u0131-\u017e]*")
 
 
-class _Encoder(dict):
-    """White-space separated word -> its ids as little-endian 32-bit bytes, for a BPE file whose pre-tokens end in `</w>`.
+class _Encoder:
+    """Text -> ids as little-endian 32-bit bytes, for a BPE file whose pre-tokens end in `</w>`.
 
-    Pre-tokens never join over white space, so words are encoded apart and remembered. Words of simple characters are cut
-    into pre-tokens here; unknown ones of a document are encoded in one call, as a list with spaces between, and told
-    apart by the end mark. All other words, and those with a special token's `<|`, go to the tokenizer as they are.
+    Texts of simple characters are cut into pre-tokens here and each is looked up in a memo; the unknown ones of a document
+    are encoded in one call, as a list with spaces between, and told apart by the end mark. All other texts, and those with
+    a special token's `<|`, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -42,42 +45,32 @@ class _Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.runs) > MEMO_ENTRIES:
-            self.runs.clear()
-        cut, new = {}, set()
-        for word in words:
-            if SIMPLE.fullmatch(word) and "<|" not in word:
-                cut[word] = runs = PRETOKEN.findall(word.lower())
-                new.update(r for r in runs if r not in self.runs)
-            else:
-                self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        order = list(new)
-        if order:
-            ids = np.array(self.tokenizer.encode(" ".join(order), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(order):
-                raise ValueError("the vocabulary file does not end each pre-token with </w>")
-            raw, start = ids.tobytes(), 0
-            for run, stop in zip(order, stops.tolist()):
-                self.runs[run] = raw[4 * start : 4 * stop]
-                start = stop
-        for word, runs in cut.items():
-            self[word] = b"".join([self.runs[r] for r in runs])
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, runs: list[str]) -> None:
+        ids = self.ids(" ".join(runs))
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(runs):
+            raise ValueError("the vocabulary file does not end each pre-token with </w>")
+        raw = ids.tobytes()
+        self.memo.update(zip(runs, map(raw.__getitem__, map(slice, [0, *stops], stops))))
 
     def document(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        missing = [w for w in set(words) if w not in self]
+        if not SIMPLE.fullmatch(text) or "<|" in text:
+            return self.ids(text).tobytes()
+        runs = PRETOKEN.findall(text.lower())
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        missing = set(runs).difference(self.memo)
         if missing:
-            self.learn(missing)
-        return b"".join(map(self.__getitem__, words))
+            self.learn(list(missing))
+        return b"".join(map(self.memo.__getitem__, runs))
 
 
 _encoders: dict[str, _Encoder] = {}
