@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import _powers, mix, stored, text_bytes
+from traceframe.llm.common import _powers, mix, squeezed_text, stored, text_bytes, unsqueezed_text
 from traceframe.llm.units import apart, merged
 
 SEGMENT = 1 << 19
@@ -243,7 +243,17 @@ def _parted(raw: np.ndarray, first: int, last: int, anchor: int, part: int, leng
     return a + first, b + first, mix(inside ^ (step[a].astype(np.uint64) + np.uint64(part << 20))), hasher.of(a, b + length, 1)
 
 
-CONTEXT = "u1 long, u2 long, first long, last long, anchor long, key long, digest long"
+#: `place` holds the first window, the number of further ones and the distance of the anchor, in 44, 10 and 10 bits.
+CONTEXT = "u1 long, u2 long, place long, key long, digest long"
+
+
+def _place(first, last, anchor):
+    return (first << 20) | ((last - first) << 10) | (anchor - first)
+
+
+def _unplaced(place: int) -> tuple[int, int, int]:
+    first = place >> 20
+    return first, first + (place >> 10 & 1023), first + (place & 1023)
 
 
 def _scan(docs: DataFrame, p: SuffixParameters) -> DataFrame:
@@ -251,14 +261,26 @@ def _scan(docs: DataFrame, p: SuffixParameters) -> DataFrame:
         with np.errstate(over="ignore"):
             for batch in batches:
                 raw, cut = text_bytes(batch.column(2))
-                row, *rest = contexts_of(raw, cut, p)
+                row, first, last, anchor, key, digest = contexts_of(raw, cut, p)
                 at = pa.array(row, pa.int64())
-                signed = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in rest]
+                signed = [pa.array(x.view(np.int64)) for x in (_place(first, last, anchor), key, digest)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *signed], names=[c.split()[0] for c in CONTEXT.split(", ")])
 
     return docs.select("u1", "u2", "text").mapInArrow(scan, CONTEXT)
 
 
+def _squeezed(docs: DataFrame) -> DataFrame:
+    """(u1, u2, text compressed): what is shuffled when texts have to meet spans."""
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([squeezed_text(x.as_py().encode()) for x in batch.column(batch.num_columns - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=batch.schema.names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    return docs.mapInArrow(shrink, f"{fields}, text binary")
+
+
 def _repeated_keys(contexts: DataFrame) -> DataFrame:
     """Contexts whose key occurs twice or more."""
     keys = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -266,7 +288,7 @@ def _repeated_keys(contexts: DataFrame) -> DataFrame:
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, part: int, p: SuffixParameters) -> DataFrame:
-    """Rows of `wanted` (u1, u2, first, last, anchor) cut from their texts, as (CONTEXT, bytes); cut into parts if there is more than one."""
+    """Rows of `wanted` (CONTEXT, n) cut from their compressed texts, as (CONTEXT, n, bytes); cut into parts where `part` is smaller."""
     spans = wanted.groupBy("u1", "u2").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c not in ("u1", "u2")])).alias("spans"))
     joined = docs.select("u1", "u2", "text").join(spans, ["u1", "u2"])
     whole = part >= p.length
@@ -274,22 +296,22 @@ def _fetch(docs: DataFrame, wanted: DataFrame, part: int, p: SuffixParameters) -
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                raw, cut_ = text_bytes(batch.column(2))
-                for i, spans in enumerate(batch.column(3)):
-                    data = raw[cut_[i] : cut_[i + 1]]
+                for i, (text, spans) in enumerate(zip(batch.column(2), batch.column(3))):
+                    data = np.frombuffer(unsqueezed_text(text.as_py()), dtype=np.uint8)
                     rows = []
                     for s in spans.as_py():
-                        first, last = s["first"], s["last"]
+                        first, last, anchor = _unplaced(s["place"])
                         if whole:
-                            rows.append((first, last, s["anchor"], s["key"], s["digest"], s["n"], data[first : last + p.length].tobytes()))
+                            rows.append((s["place"], s["key"], s["digest"], s["n"], data[first : last + p.length].tobytes()))
                         else:
-                            for a, b, k, d in zip(*_parted(data, first, last, s["anchor"], part, p.length)):
-                                rows.append((int(a), int(b), s["anchor"], int(k.view(np.int64)), int(d.view(np.int64)), s["n"], b""))
-                    arrays = [pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 6 + [pa.binary()])]
+                            for a, b, k, d in zip(*_parted(data, first, last, anchor, part, p.length)):
+                                # the distance of the anchor may be that of a window after it; it is kept for the next cut
+                                rows.append((_place(int(a), int(b), anchor), int(k.view(np.int64)), int(d.view(np.int64)), s["n"], b""))
+                    arrays = [pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.binary()])]
                     same = pa.array([i] * len(rows), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(same), batch.column(1).take(same), *arrays],
-                        names=["u1", "u2", "first", "last", "anchor", "key", "digest", "n", "bytes"],
+                        names=["u1", "u2", "place", "key", "digest", "n", "bytes"],
                     )
 
     return joined.mapInArrow(cut, CONTEXT + ", n long, bytes binary")
@@ -297,7 +319,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, part: int, p: SuffixParameters) -
 
 def _indexed(rows: DataFrame, p: SuffixParameters) -> DataFrame:
     """(u1, u2, start, stop) of the bytes under repeated strings among rows (u1, u2, first, key, n, bytes); keys meet in one task."""
-    dealt = rows.select("key", "u1", "u2", "first", "n", "bytes").repartition("key").sortWithinPartitions("key")
+    dealt = rows.select("key", "u1", "u2", F.shiftright("place", 20).alias("first"), "n", "bytes").repartition("key").sortWithinPartitions("key")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: list[tuple]) -> pa.RecordBatch:
@@ -334,28 +356,31 @@ def _runs(places: np.ndarray, length: int) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, p: SuffixParameters = SuffixParameters()) -> DataFrame:
     """(u1, u2, start, stop): byte ranges under repeated strings, which may overlap, of docs (u1, u2, text)."""
     found: DataFrame | None = None
+    small_texts = _squeezed(docs)
     contexts = stored(_scan(docs, p)).withColumn("n", F.lit(1).cast("bigint"))
     for level, part in enumerate(p.parts):
         # from here a row is a context or a part; n > 1 stands for others like it that are decided already
         alive = stored(_repeated_keys(contexts))
         kinds = alive.groupBy("key", "digest").agg(
-            F.sum("n").alias("n"), F.min_by(F.struct("u1", "u2", "first", "last", "anchor"), F.struct("u1", "u2", "first")).alias("one")
+            F.sum("n").alias("n"), F.min(F.struct("u1", "u2", "place")).alias("one")
         )
         kinds = stored(kinds)
         many = kinds.where("n > 1").select("key", "digest")
         equal = alive.join(many, ["key", "digest"], "left_semi")
-        spans = equal.select("u1", "u2", F.col("first").alias("start"), (F.col("last") + p.length).alias("stop"))
+        first = F.shiftright("place", 20)
+        windows = F.shiftright("place", 10).bitwiseAND(F.lit(1023))
+        spans = equal.select("u1", "u2", first.alias("start"), (first + windows + p.length).alias("stop"))
         found = spans if found is None else found.unionByName(spans)
         several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
         one = kinds.join(several, "key").select("key", "digest", "n", "kinds", "one.*")
         small = one.where(F.col("kinds") <= p.limit).drop("kinds")
         if part == 1:
             return found  # a part of one window: its digest has decided
-        found = found.unionByName(stored(_indexed(_fetch(docs, small, p.parts[0], p), p)))
+        found = found.unionByName(stored(_indexed(_fetch(small_texts, small, p.parts[0], p), p)))
         large = one.where(F.col("kinds") > p.limit).drop("kinds")
         if not large.limit(1).count():
             return found
-        contexts = stored(_fetch(docs, large, p.parts[level + 1], p).drop("bytes"))
+        contexts = stored(_fetch(small_texts, large, p.parts[level + 1], p).drop("bytes"))
     return found
 
 
@@ -369,15 +394,15 @@ def remove_repeated_bytes(
     """
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(id_column).alias("id"), t.alias("text"))
-    base = base.withColumn("u1", F.xxhash64("id", "text")).withColumn("u2", F.xxhash64("text", "id", F.lit(7)))
-    spans = repeated_spans(base, p).groupBy("u1", "u2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    joined = base.join(spans, ["u1", "u2"], "left").select("id", "text", "spans")
+    base = base.select("id", F.xxhash64("id", "text").alias("u1"), F.xxhash64("text", "id", F.lit(7)).alias("u2"), "text")
+    spans = repeated_spans(base.select("u1", "u2", "text"), p).groupBy("u1", "u2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    joined = _squeezed(base).join(spans, ["u1", "u2"], "left").select("id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
             for value, spans in zip(batch.column(1), batch.column(2)):
-                data = value.as_py().encode()
+                data = unsqueezed_text(value.as_py())
                 runs = merged([(s["start"], s["stop"]) for s in spans.as_py()]) if spans.is_valid else []
                 n.append(len(data))
                 gone.append([{"start": a, "stop": b} for a, b in runs])
