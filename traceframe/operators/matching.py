@@ -1,14 +1,15 @@
 """Spatial joins and order-dependent matching.
 
-Proximity and intersection joins meet on grid cells. Matching that depends on an order is done in rounds: in every
-round all decisions that nothing undecided can still influence are taken at once, so the result equals the sequential
-one and no case has to fit into one task. Each round is checkpointed.
+Proximity and intersection joins meet on grid cells. Matching that depends on an order is decided apart for each connected
+part of the graph of near points, since no decision crosses parts; finding the parts takes rounds that grow with the logarithm
+of the longest chain, and none has a limit. Rounds are checkpointed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,9 +17,6 @@ from pyspark.sql.window import Window
 from traceframe.functions.quantiles import exact_quantiles
 from traceframe.session import checkpointed
 
-MAX_ROUNDS = 1_000
-
-
 def near_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], radius: float | Column) -> DataFrame:
     """All pairs with the same keys within `radius`; columns become a_* and b_*, plus dist. Both sides hold x, y."""
     cell = F.lit(radius) if not isinstance(radius, Column) else radius
@@ -74,65 +72,71 @@ def nearest_unique(points: DataFrame, candidates: DataFrame, keys: Sequence[str]
     return j.select(*keys, id_col, "reason", F.when(ok, F.col("cand")).alias("cand"), F.when(ok, F.col("d1")).alias("dist"))
 
 
-def greedy_one_to_one(ref: DataFrame, cand: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
-    """Greedy one-to-one matches by ascending (distance, ref, cand) under a radius: (keys, ref, cand, dist).
+def _solved(pairs: DataFrame, keys: Sequence[str], left: str, right: str, solve: Callable[[pd.DataFrame], pd.DataFrame], extra: str) -> DataFrame:
+    """`solve` on the pairs of each connected part of the graph of `left` and `right` points; no decision crosses parts.
 
-    A pair that is the best of both its points is picked by the greedy order whatever happens elsewhere.
+    A part is what a chain of near points ties together, usually far less than a case. It meets in one task.
     """
-    left = checkpointed(
-        near_pairs(ref, cand, keys, radius).select(*keys, F.col("a_ref").alias("ref"), F.col("b_cand").alias("cand"), "dist")
-    )
-    done = left.limit(0)
-    order = F.struct("dist", "ref", "cand")
-    for _ in range(MAX_ROUNDS):
-        if left.isEmpty():
-            return done
-        by_ref = left.groupBy(*keys, "ref").agg(F.min(order).alias("m")).select(*keys, "m.ref", "m.cand", "m.dist")
-        by_cand = left.groupBy(*keys, "cand").agg(F.min(order).alias("m")).select(*keys, "m.ref", "m.cand")
-        picked = checkpointed(by_ref.join(by_cand, [*keys, "ref", "cand"]))
-        done = done.unionByName(picked)
-        left = checkpointed(
-            left.join(picked.select(*keys, "ref"), [*keys, "ref"], "left_anti").join(picked.select(*keys, "cand"), [*keys, "cand"], "left_anti")
-        )
-    raise RuntimeError("matching did not finish")
+    same = left == right
+    held = checkpointed(pairs)
 
+    def node(c: str, side: str) -> Column:
+        return F.struct(*keys, F.lit("" if same else side).alias("side"), F.col(c).alias("of"))
 
-def sequential_matches(ref: DataFrame, cand: DataFrame, keys: Sequence[str], radius: float, margin: float) -> DataFrame:
-    """Reference points in order of `ref` each take the nearest free candidate or refuse: (keys, ref, reason, cand, dist).
+    edges = held.select(node("_l", "l").alias("a"), node("_r", "r").alias("b"))
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    parts = connected_components(nodes, edges).select(F.col("id").alias("_n"), F.xxhash64("component").alias("_part"))
+    tagged = held.withColumn("_n", node("_l", "l")).join(parts, "_n").drop("_n")
+    types = {f.name: f.dataType.simpleString() for f in held.schema.fields}
+    ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    names = list(keys)
 
-    A point is decided once no earlier undecided point could still claim one of the candidates it looks at.
-    """
-    pairs = checkpointed(
-        near_pairs(ref, cand, keys, radius + margin).select(*keys, F.col("a_ref").alias("ref"), F.col("b_cand").alias("cand"), "dist")
-    )
-    done = None
-    for _ in range(MAX_ROUNDS):
-        if pairs.isEmpty():
-            break
-        first = pairs.where(F.col("dist") <= radius).groupBy(*keys, "cand").agg(F.min("ref").alias("_first"))
-        j = pairs.join(first, [*keys, "cand"], "left")
-        ready = j.groupBy(*keys, "ref").agg(F.bool_and(F.coalesce(F.col("_first") >= F.col("ref"), F.lit(True))).alias("_ok")).where("_ok")
-        now = pairs.join(ready, [*keys, "ref"], "left_semi")
-        w = Window.partitionBy(*keys, "ref").orderBy("dist", "cand")
-        two = now.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
-        g = two.groupBy(*keys, "ref").agg(
-            F.min("dist").alias("dist"), F.max(F.when(F.col("_r") == 2, F.col("dist"))).alias("_d2"), F.max(F.when(F.col("_r") == 1, F.col("cand"))).alias("cand")
-        )
-        reason = F.when(F.col("dist") > radius, "no_candidate").when(F.col("_d2") - F.col("dist") < margin, "ambiguous").otherwise("ok")
-        decided = checkpointed(g.withColumn("reason", reason).drop("_d2"))
-        done = decided if done is None else done.unionByName(decided)
-        claimed = decided.where("reason = 'ok'").select(*keys, "cand")
-        pairs = checkpointed(
-            pairs.join(decided.select(*keys, "ref"), [*keys, "ref"], "left_anti").join(claimed, [*keys, "cand"], "left_anti")
-        )
-    else:
-        raise RuntimeError("matching did not finish")
-    base = ref.select(*keys, "ref")
-    if done is None:
-        return base.select("*", F.lit("no_candidate").alias("reason"), F.lit(None).cast("bigint").alias("cand"), F.lit(None).cast("double").alias("dist"))
-    j = base.join(done, [*keys, "ref"], "left").withColumn("reason", F.coalesce("reason", F.lit("no_candidate")))
-    ok = F.col("reason") == "ok"
-    return j.select(*keys, "ref", "reason", F.when(ok, F.col("cand")).alias("cand"), F.when(ok, F.col("dist")).alias("dist"))
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = solve(pdf)
+        for n, v in zip(names, key):
+            out[n] = v
+        return out
+
+    return tagged.groupBy(*keys, "_part").applyInPandas(run, f"{ddl}, {extra.format(**types)}")
+
+
+def greedy_one_to_one(ref: DataFrame, cand: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
+    """Greedy one-to-one matches by ascending (distance, ref, cand) under a radius: (keys, ref, cand, dist)."""
+    pairs = near_pairs(ref, cand, keys, radius).select(*keys, F.col("a_ref").alias("_l"), F.col("b_cand").alias("_r"), "dist")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken_l, taken_r, picked = set(), set(), []
+        for l, r, dist in pdf.sort_values(["dist", "_l", "_r"])[["_l", "_r", "dist"]].itertuples(index=False):
+            if l not in taken_l and r not in taken_r:
+                taken_l.add(l)
+                taken_r.add(r)
+                picked.append((l, r, dist))
+        return pd.DataFrame(picked, columns=["ref", "cand", "dist"])
+
+    return _solved(pairs, keys, "ref", "cand", solve, "ref {_l}, cand {_r}, dist double")
+
+
+def sequential_matches(ref: DataFrame, cand: DataFrame, keys: Sequence[str], radius: float, margin: float) -> DataFrame:
+    """Reference points in order of `ref` each take the nearest free candidate or refuse: (keys, ref, reason, cand, dist)."""
+    pairs = near_pairs(ref, cand, keys, radius + margin).select(*keys, F.col("a_ref").alias("_l"), F.col("b_cand").alias("_r"), "dist")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        claimed, decided = set(), []
+        for l, near in pdf.sort_values(["_l", "dist", "_r"]).groupby("_l", sort=False):
+            free = [(d, r) for d, r in zip(near["dist"], near["_r"]) if r not in claimed]
+            if not free or free[0][0] > radius:
+                decided.append((l, "no_candidate", None, None))
+            elif len(free) > 1 and free[1][0] - free[0][0] < margin:
+                decided.append((l, "ambiguous", None, None))
+            else:
+                claimed.add(free[0][1])
+                decided.append((l, "ok", free[0][1], free[0][0]))
+        out = pd.DataFrame(decided, columns=["ref", "reason", "cand", "dist"])
+        return out.astype({"cand": pdf["_r"].dtype.name.replace("int", "Int"), "dist": "Float64"})
+
+    done = _solved(pairs, keys, "ref", "cand", solve, "ref {_l}, reason string, cand {_r}, dist double")
+    j = ref.select(*keys, "ref").join(done, [*keys, "ref"], "left")
+    return j.select(*keys, "ref", F.coalesce("reason", F.lit("no_candidate")).alias("reason"), "cand", "dist")
 
 
 def match_counts(ref: DataFrame, cand: DataFrame, matches: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -161,22 +165,25 @@ def suppressed(points: DataFrame, keys: Sequence[str], id_col: str, priority: Se
     """Keep the best point, drop its neighbours within `radius`, go on: the kept rows. Priority ends with a unique id."""
     p = points.select(*keys, id_col, "x", "y", F.struct(*priority).alias("rank"))
     near = near_pairs(p, p, keys, radius).where(F.col("a_rank") < F.col("b_rank"))
-    edges = checkpointed(near.select(*keys, F.col(f"a_{id_col}").alias("better"), F.col(f"b_{id_col}").alias("worse")))
-    undecided = checkpointed(p.select(*keys, F.col(id_col).alias("_id")))
-    kept = undecided.limit(0)
-    for _ in range(MAX_ROUNDS):
-        if edges.isEmpty():
-            kept = kept.unionByName(undecided)
-            return points.join(kept.withColumnRenamed("_id", id_col), [*keys, id_col], "left_semi")
-        now = checkpointed(undecided.join(edges.select(*keys, F.col("worse").alias("_id")), [*keys, "_id"], "left_anti"))
-        kept = kept.unionByName(now)
-        lost = edges.join(now.withColumnRenamed("_id", "better"), [*keys, "better"], "left_semi").select(*keys, F.col("worse").alias("_id")).distinct()
-        gone = checkpointed(now.unionByName(lost))
-        undecided = checkpointed(undecided.join(gone, [*keys, "_id"], "left_anti"))
-        edges = checkpointed(
-            edges.join(gone.withColumnRenamed("_id", "better"), [*keys, "better"], "left_anti").join(gone.withColumnRenamed("_id", "worse"), [*keys, "worse"], "left_anti")
-        )
-    raise RuntimeError("suppression did not finish")
+    pairs = near.select(*keys, F.col(f"a_{id_col}").alias("_l"), F.col(f"b_{id_col}").alias("_r"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        waits = pdf["_r"].value_counts().to_dict()
+        below = pdf.groupby("_l")["_r"].apply(list).to_dict()
+        ready = [n for n in below if n not in waits]
+        dropped = set()
+        while ready:  # all better neighbours of a ready point are decided
+            n = ready.pop()
+            for worse in below.get(n, ()):
+                if n not in dropped:
+                    dropped.add(worse)
+                waits[worse] -= 1
+                if not waits[worse]:
+                    ready.append(worse)
+        return pd.DataFrame({id_col: pd.Series(sorted(dropped), dtype=pdf["_l"].dtype)})
+
+    lost = _solved(pairs, keys, id_col, id_col, solve, f"`{id_col}` {{_l}}")
+    return points.join(lost, [*keys, id_col], "left_anti")
 
 
 # ------------------------------------------------------------- proximity in a trace
@@ -309,7 +316,7 @@ def nearest_distances(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: flo
     b = checkpointed(b)
     out = None
     size = cell
-    for _ in range(64):
+    while True:
         hits = near_pairs(todo, b, keys, size)
         pick = F.min_by(f"b_{owner}", F.struct("dist", f"b_{owner}")) if owner else F.lit(None)
         g = hits.groupBy(*keys, "a__row").agg(F.min("dist").alias("dist"), *([pick.alias(owner)] if owner else []))
@@ -319,7 +326,6 @@ def nearest_distances(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: flo
         if todo.isEmpty():
             return out.select(*keys, *rest, "dist", *([owner] if owner else []))
         size *= 2
-    raise RuntimeError("a point lies too far from every candidate")
 
 
 def assigned_to_bands(comps: DataFrame, bands: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
@@ -367,7 +373,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -
     """
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(nodes.select(F.col(node).alias("n"), F.col(node).alias("l")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         seen = both.join(labels, both.b == labels.n).groupBy("a").agg(F.min("l").alias("m"))
         # hook the root as well, so that whole trees merge at once
         low = labels.join(seen, labels.n == seen.a, "left").select("n", "l", F.least("l", F.coalesce("m", "l")).alias("m"))
@@ -380,7 +386,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -
         labels = new.select("n", "l")
         if not changed:
             return labels.select(F.col("n").alias(node), F.col("l").alias("component"))
-    raise RuntimeError("components did not converge")
 
 
 def pixel_components(pixels: DataFrame, keys: Sequence[str], diagonal: bool = False) -> DataFrame:
