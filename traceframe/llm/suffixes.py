@@ -41,7 +41,7 @@ class SuffixParameters:
     length: int = 400
     gram: int = 64
     limit: int = 5_000
-    batch_bytes: int = 4 << 20
+    batch_bytes: int = 2 << 20
     #: windows of one part, level by level; the first is no cut at all
     parts: tuple[int, ...] = (1 << 20, 42, 6, 1)
 
