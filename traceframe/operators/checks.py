@@ -186,7 +186,7 @@ def transition_problem(stored: str = "s", change: str = "c") -> Column:
     """
 
     def blank(c: Column) -> Column:
-        return c.isNull() | (F.trim(c) == "")
+        return c.isNull() | c.rlike(r"^\s*$")
 
     def after(field: str) -> Column:
         return F.coalesce(F.col(f"{change}.{field}"), F.col(f"{stored}.{field}"))

@@ -238,9 +238,9 @@ ch AS (SELECT event_id % 1500 AS item_id, event_id AS change_id,
         ITEMS,
         body="""SELECT change_id, CASE
   WHEN coalesce(c_status, 'open') NOT IN ('ack', 'done', 'returned') AND coalesce(c_understanding, c_reproduced, c_stage, c_resolution) IS NOT NULL THEN 'protocol_without_transition'
-  WHEN c_status IN ('done', 'returned') AND trim(coalesce(understanding, '')) = '' THEN 'not_understood'
-  WHEN c_status = 'ack' AND (trim(coalesce(c_understanding, understanding, '')) = '' OR trim(coalesce(c_reproduced, reproduced, '')) = '') THEN 'ack_missing'
-  WHEN c_status IN ('done', 'returned') AND (trim(coalesce(c_resolution, resolution, '')) = '' OR kind <> 'note' AND trim(coalesce(c_stage, stage, '')) = '') THEN 'close_missing' END AS problem
+  WHEN c_status IN ('done', 'returned') AND regexp_full_match(coalesce(understanding, ''), '[[:space:]]*') THEN 'not_understood'
+  WHEN c_status = 'ack' AND (regexp_full_match(coalesce(c_understanding, understanding, ''), '[[:space:]]*') OR regexp_full_match(coalesce(c_reproduced, reproduced, ''), '[[:space:]]*')) THEN 'ack_missing'
+  WHEN c_status IN ('done', 'returned') AND (regexp_full_match(coalesce(c_resolution, resolution, ''), '[[:space:]]*') OR kind <> 'note' AND regexp_full_match(coalesce(c_stage, stage, ''), '[[:space:]]*')) THEN 'close_missing' END AS problem
 FROM ch JOIN st USING (item_id)""",
     ),
 )

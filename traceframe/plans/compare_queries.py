@@ -38,15 +38,15 @@ def _(spark, d):
 
 
 def _sides(spark, d):
-    """First week of a case as reference points, the second as candidates."""
-    t = V.traces(spark, d)
-    ref = t.where("stroke = 0").select("case_id", F.col("pos").cast("bigint").alias("ref"), "x", "y")
-    cand = t.where("stroke = 1").select("case_id", F.col("pos").cast("bigint").alias("cand"), "x", "y")
+    """Every week of a user as reference points, the week after it as candidates: one case for each user and week."""
+    first, second = V.week_pairs(V.traces(spark, d))
+    ref = first.select("case_id", F.col("pos").cast("bigint").alias("ref"), "x", "y")
+    cand = second.select("case_id", F.col("pos").cast("bigint").alias("cand"), "x", "y")
     return ref, cand
 
 
 SIDES = V.TRACE + """,
-rf AS (SELECT case_id, pos AS ref, x, y FROM trace WHERE stroke = 0), cd AS (SELECT case_id, pos AS cand, x, y FROM trace WHERE stroke = 1),
+rf AS (SELECT case_id * 100 + stroke AS case_id, pos AS ref, x, y FROM trace), cd AS (SELECT case_id * 100 + stroke - 1 AS case_id, pos AS cand, x, y FROM trace WHERE stroke > 0),
 ds AS (SELECT case_id, ref, cand, sqrt((rf.x - cd.x) ** 2 + (rf.y - cd.y) ** 2) AS d FROM rf JOIN cd USING (case_id))"""
 
 
@@ -273,9 +273,7 @@ def _(spark, d):
 
 
 def _sequences(spark, d):
-    t = V.traces(spark, d)
-    a = t.where("stroke = 0").select("case_id", F.col("pos").cast("bigint").alias("i"), "x", "y")
-    b = t.where("stroke = 1").select("case_id", F.col("pos").cast("bigint").alias("i"), "x", "y")
+    a, b = (t.select("case_id", F.col("pos").cast("bigint").alias("i"), "x", "y") for t in V.week_pairs(V.traces(spark, d)))
     return a, b
 
 
@@ -384,7 +382,7 @@ def _(spark, d):
 
 
 REG = V.PIXELS + """,
-a AS (SELECT mask_id, x, y FROM px WHERE side = 'A'), b AS (SELECT mask_id, x, y FROM px WHERE side = 'R' AND grey < 0.3),
+a AS (SELECT mask_id, x, y FROM px WHERE side = 'A'), b AS (SELECT mask_id, x, y FROM px WHERE side = 'R'),
 g AS (SELECT mask_id, x, y FROM (SELECT DISTINCT mask_id FROM a), (SELECT unnest(range(64))::INTEGER AS x), (SELECT unnest(range(64))::INTEGER AS y)),
 dt AS (SELECT g.mask_id, g.x, g.y, min(sqrt((g.x - a.x) ** 2 + (g.y - a.y) ** 2)) AS d FROM g JOIN a ON a.mask_id = g.mask_id GROUP BY 1, 2, 3),
 t0 AS (SELECT mask_id, CAST(min(a.x) - (SELECT min(b.x) FROM b WHERE b.mask_id = a.mask_id) AS BIGINT) AS t FROM a GROUP BY 1),
@@ -399,7 +397,7 @@ md AS (SELECT cl.mask_id, tx, ty, round(avg(d + sqrt((sx - cx) ** 2 + (sy - cy)
 )
 def _(spark, d):
     ink = V.pixels(spark, d).where("side = 'A'").select("mask_id", "x", "y")
-    pts = V.pixels(spark, d).where("side = 'R' AND grey < 0.3").select("mask_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    pts = V.pixels(spark, d).where("side = 'R'").select("mask_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     g = checkpointed(C.grid_distances(ink, ["mask_id"], 64, 64))
     return C.registration(pts, g, ["mask_id"], 10.0, 64, 64).withColumn("mean_dist", r("mean_dist"))
 

@@ -333,7 +333,7 @@ def _(spark, d):
     "sm06_trimmed_curve",
     V.with_views(
         V.TRACE,
-        """cu AS (SELECT * FROM trace WHERE stroke = 1), re AS (SELECT case_id, min_by(x, pos) AS px, min_by(y, pos) AS py, max_by(x, pos) AS qx, max_by(y, pos) AS qy FROM trace WHERE stroke = 0 GROUP BY 1),
+        """cu AS (SELECT case_id * 100 + stroke - 1 AS case_id, pos, x, y FROM trace WHERE stroke > 0), re AS (SELECT case_id * 100 + stroke AS case_id, min_by(x, pos) AS px, min_by(y, pos) AS py, max_by(x, pos) AS qx, max_by(y, pos) AS qy FROM trace GROUP BY 1),
 di AS (SELECT cu.case_id, pos, sqrt((x - px) ** 2 + (y - py) ** 2) AS dp, sqrt((x - qx) ** 2 + (y - qy) ** 2) AS dq FROM cu JOIN re USING (case_id)),
 ab AS (SELECT case_id, arg_min(pos, dp) AS a, arg_min(pos, dq) AS b FROM di GROUP BY 1),
 lh AS (SELECT case_id, CASE WHEN a = b THEN a - 1 ELSE least(a, b) END AS lo, CASE WHEN a = b THEN a + 1 ELSE greatest(a, b) END AS hi FROM ab)""",
@@ -341,8 +341,8 @@ lh AS (SELECT case_id, CASE WHEN a = b THEN a - 1 ELSE least(a, b) END AS lo, CA
     ),
 )
 def _(spark, d):
-    t = V.traces(spark, d)
-    c = G.trimmed_to_reference(t.where("stroke = 1").drop("stroke"), t.where("stroke = 0").drop("stroke"), ["case_id"])
+    first, second = V.week_pairs(V.traces(spark, d))
+    c = G.trimmed_to_reference(second, first, ["case_id"])
     return c.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("bigint").alias("first_pos"))
 
 
@@ -351,12 +351,11 @@ def _(spark, d):
     V.with_views(
         _resample_sql("24"),
         """o AS (SELECT r.case_id, r.stroke, r.i, r.x - f.x AS x, r.y - f.y AS y FROM rs r JOIN rs f ON f.case_id = r.case_id AND f.stroke = r.stroke AND f.i = 0)""",
-        body="SELECT a.case_id, round(avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS dconn FROM o a JOIN o b ON b.case_id = a.case_id AND b.i = a.i AND a.stroke = 0 AND b.stroke = 1 GROUP BY 1",
+        body="SELECT a.case_id * 100 + a.stroke AS case_id, round(avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS dconn FROM o a JOIN o b ON b.case_id = a.case_id AND b.i = a.i AND b.stroke = a.stroke + 1 GROUP BY 1",
     ),
 )
 def _(spark, d):
-    t = V.traces(spark, d)
-    s = G.shape_distance(t.where("stroke = 0").drop("stroke"), t.where("stroke = 1").drop("stroke"), ["case_id"])
+    s = G.shape_distance(*V.week_pairs(V.traces(spark, d)), ["case_id"])
     return s.withColumn("dconn", r("dconn"))
 
 
@@ -380,15 +379,15 @@ def _(spark, d):
     "sm08_shape_delta",
     V.with_views(
         _resample_sql("64"),
-        """dd AS (SELECT a.case_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM rs a JOIN rs b ON b.case_id = a.case_id AND b.i = a.i AND a.stroke = 1 AND b.stroke = 2),
+        """dd AS (SELECT a.case_id * 100 + a.stroke AS case_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM rs a JOIN rs b ON b.case_id = a.case_id AND b.i = a.i AND b.stroke = a.stroke + 1),
 m AS (SELECT case_id, median(d) AS m FROM dd GROUP BY 1)""",
         body="SELECT case_id, round(avg(abs(d - m)), 6) AS mean, round(quantile_cont(abs(d - m), 0.9::DOUBLE), 6) AS p90 FROM dd JOIN m USING (case_id) GROUP BY 1",
     ),
 )
 def _(spark, d):
-    t = V.traces(spark, d)
-    a = Rs.resample_to(t.where("stroke = 1").drop("stroke"), ["case_id"], 64)
-    b = Rs.resample_to(t.where("stroke = 2").drop("stroke"), ["case_id"], 64).select("case_id", "i", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    first, second = V.week_pairs(V.traces(spark, d))
+    a = Rs.resample_to(first, ["case_id"], 64)
+    b = Rs.resample_to(second, ["case_id"], 64).select("case_id", "i", F.col("x").alias("x2"), F.col("y").alias("y2"))
     s = G.shape_delta(a.join(b, ["case_id", "i"]), ["case_id"], F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
     return s.select("case_id", r("mean").alias("mean"), r("p90").alias("p90"))
 
@@ -456,8 +455,8 @@ def _(spark, d):
     "ag47_bounding_window",
     V.with_views(
         V.PIXELS,
-        body="SELECT mask_id, greatest(0, min(x) - 6) AS x0, least(64, max(x) + 6) AS x1, greatest(0, min(y) - 6) AS y0, least(64, max(y) + 6) AS y1 FROM px WHERE side = 'A' AND grey < 0.5 GROUP BY 1",
+        body="SELECT mask_id, greatest(0, min(x) - 6) AS x0, least(64, max(x) + 6) AS x1, greatest(0, min(y) - 6) AS y0, least(64, max(y) + 6) AS y1 FROM px WHERE side = 'A' GROUP BY 1",
     ),
 )
 def _(spark, d):
-    return G.bounding_window(V.pixels(spark, d).where("side = 'A' AND grey < 0.5"), ["mask_id"], F.lit(10.0), 0.5, F.lit(64), F.lit(64))
+    return G.bounding_window(V.pixels(spark, d).where("side = 'A'"), ["mask_id"], F.lit(10.0), 0.5, F.lit(64), F.lit(64))

@@ -449,3 +449,9 @@ def words(spark: SparkSession, directory: str) -> DataFrame:
 WORDS = r"""
 word AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM documents)
   GROUP BY 1)"""
+
+
+def week_pairs(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every week of a user, and the week after it, as two sides of one case; `case_id` becomes 100 * user + week."""
+    case = F.col("case_id") * 100 + F.col("stroke")
+    return t.withColumn("case_id", case).drop("stroke"), t.where("stroke > 0").withColumn("case_id", case - 1).drop("stroke")
