@@ -173,7 +173,7 @@ def near_duplicates(
     """One row per row of `docs`: the id, `n_shingles`, `component_id` (smallest id reachable over links), `kept`.
 
     Nulls, empty texts and texts without a word have no shingle and are linked with nothing. A null id is linked with
-    nothing and has itself as component, kept. Rows that repeat an id are one node: their links are joined. Other columns of `docs` are
+    nothing, has no component and is kept. Rows that repeat an id are one node: their links are joined. Other columns of `docs` are
     not read, so their names do not matter. An empty table gives an empty result.
     """
     signed = stored(signatures(docs, p, id_column, text))
@@ -214,7 +214,7 @@ def near_duplicates(
     labels = whole.unionByName(split.select(F.col("node").alias("id"), F.col("component").alias("component_id")))
     member = signed.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
     member = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component_id", "rep", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "rep", "id"))
     return member.select(
         F.col("id").alias(id_column), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
