@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from traceframe.llm.classifier import ClassifierParameters, quality_scores, train
+from traceframe.llm.classifier import ClassifierParameters, log_loss, quality_scores, train
 from traceframe.llm.decontaminate import benchmark_leaks, common_length
 from traceframe.llm.language import LanguageParameters, Totals, Seating, language_scores, model_probabilities, seat
 from traceframe.llm.packing import Capacities, best_fit, encoder, pack_documents
@@ -46,12 +46,15 @@ def test_classifier_awkward_rows(spark, messy, messy_rows, no_rows):
     assert quality_scores(no_rows, labels, p).count() == 0
 
 
-def test_temperature_is_fitted():
+def test_temperature_is_the_best_for_the_rows_held_back():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5))
     y = (x[:, 0] + rng.normal(size=600) > 0).astype(float)
-    net = train(x, y, np.arange(600) % 5 == 0, ClassifierParameters(epochs=80, dims=2))
-    assert net.temperature > 1  # such a net is too sure of itself
+    check = np.arange(600) % 5 == 0
+    net = train(x, y, check, ClassifierParameters(epochs=80, dims=2))
+    z = net.logits(x[check])
+    best = log_loss(z / net.temperature, y[check])
+    assert all(best <= log_loss(z / t, y[check]) + 1e-9 for t in (0.25, 0.5, 0.9, 1.0, 1.1, 2.0, 8.0) if t != net.temperature)
     assert np.mean((net.scores(x) > 0.5) == y) > 0.7
 
 
