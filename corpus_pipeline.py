@@ -15,13 +15,15 @@ from traceframe.llm.classifier import quality_scores
 from traceframe.llm.classifier_queries import ACCEPT
 from traceframe.llm.common import stored
 from traceframe.llm.decontaminate import benchmark_leaks
-from traceframe.llm.neardup import near_duplicates
+from traceframe.llm.neardup import NearDup, near_duplicates
 from traceframe.llm.packing import Capacities, pack_documents
 from traceframe.llm.packing_queries import vocabulary
 from traceframe.llm.registry import table
 from traceframe.llm.units import remove_repeats
 
 SEQUENCE_TOKENS = 4096
+#: Shingles of five words, similarity 0.8 or more. A pair of exactly 0.8 shares no band with a chance of 2 in a million.
+NEAR = NearDup(percent=80, bands=55, rows=7, slack=0.16)
 
 
 def _of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -38,7 +40,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
-    return _of(docs, near_duplicates(docs).where("kept"), "left_semi")
+    return _of(docs, near_duplicates(docs, NEAR).where("kept"), "left_semi")
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
