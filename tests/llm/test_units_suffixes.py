@@ -77,3 +77,59 @@ def test_index_against_counts(length):
             times[c[i : i + length]] += w
     want = [[i for i in range(len(c) - length + 1) if times[c[i : i + length]] >= 2] for c in contexts]
     assert [x.tolist() for x in repeated_places(contexts, weights, length)] == want
+
+
+def planted(rng, passages):
+    """Two documents for each passage, with other words around it; (id, text) and the words a passage has."""
+    other = lambda: " ".join(f"own{rng.integers(10**9)}{'.' if rng.random() < 0.1 else ''}" for _ in range(rng.integers(30, 90)))
+    rows = [(2 * k + side, f"{other()} {x} {other()}") for k, x in enumerate(passages) for side in (0, 1)]
+    rng.shuffle(rows)
+    return [(int(i), str(t)) for i, t in rows]
+
+
+@pytest.mark.parametrize("stops", [0, 4, 7, 15, 60])
+def test_passages_of_51_words_at_any_offset(spark, stops):
+    rng = np.random.default_rng(stops)
+    gap = lambda k: ".\n" if stops and k % (3 * stops) == 0 else ". " if stops and k % stops == 0 else " "
+    passages = []
+    for x in range(120):
+        source = "".join(f"word{rng.integers(5000)}x{x}{gap(k + 1)}" for k in range(140))
+        at = x % 80
+        words = source.split(" ")
+        passages.append(" ".join(words[at:])[: len(" ".join(words[at:]))])
+        cut, n = passages[-1], 0
+        for end, c in enumerate(cut):  # 51 words, with the white space between them
+            n += c in " \n"
+            if n == 51:
+                passages[-1] = cut[:end]
+                break
+    assert {len(x.split()) for x in passages} == {51}
+    rows = planted(rng, passages)
+    got = {r["doc_id"]: r["text"] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    given, left = dict(rows), []
+    for k, x in enumerate(passages):
+        assert got[2 * k] == given[2 * k]
+        assert [w for w in got[2 * k + 1].split() if w[:3] == "own"] == [w for w in given[2 * k + 1].split() if w[:3] == "own"]
+        left.append(len(set(got[2 * k + 1].split()) & set(x.split())))
+    assert max(left) <= 14 and np.mean(left) < 7
+
+
+def test_a_passage_that_repeats_in_itself_stays_once(spark):
+    rows = [(1, "the " * 100), (1, "the " * 100), (2, " ".join(f"w{k % 30}" for k in range(200))), (3, "the " * 40)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = sorted((r["doc_id"], len(r["text"].split())) for r in got)
+    assert size[0] == size[1] and 8 <= size[0][1] <= 40
+    assert 30 <= size[2][1] < 90 and set(next(r["text"] for r in got if r["doc_id"] == 2).split()) == {f"w{k}" for k in range(30)}
+    assert size[3][1] < 20
+
+
+def test_units_do_not_depend_on_batches(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = lambda df: {r["doc_id"]: r["text"] for r in remove_repeats(df).collect()}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        small = texts(docs.repartition(5))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert small == texts(docs.coalesce(1))
