@@ -51,6 +51,29 @@ def test_median_and_mad(values, monkeypatch, limit):
     assert got["hot"]["d"] == pytest.approx(statistics.median(abs(x - m) for x in v))
 
 
+def test_quantiles_of_null_keys_and_nan_beside_a_huge_group(spark):
+    nan = float("nan")
+    small = spark.createDataFrame(
+        [(None, 1.0), (None, 2.0), (None, 4.0), ("n", 1.0), ("n", 2.0), ("n", nan), ("n", None), ("all", nan), ("none", None)],
+        "k STRING, v DOUBLE",
+    )
+    huge = spark.range(60_000).select(F.lit("huge").alias("k"), F.when(F.col("id") % 4 == 0, nan).otherwise(F.col("id") + 0.0).alias("v"))
+    wanted = {"m": 0.5, "p9": (0.9, "half_up")}
+    rows = lambda df: {r["k"]: str(tuple(r)[1:]) for r in df.collect()}
+    for other in (None, huge):
+        df = small if other is None else small.unionByName(other)
+        got = rows(Q.exact_quantiles(df, ["k"], "v", wanted, "n"))
+        huge_row = {}
+        if other is not None:
+            numbers = sorted(x for x in range(60_000) if x % 4)
+            huge_row = {"huge": str(((numbers[29_999] + numbers[30_000]) / 2, nan, 60_000))}
+        assert got == {None: "(2.0, 4.0, 3)", "n": "(2.0, nan, 3)", "all": "(nan, nan, 1)"} | huge_row
+        one = rows(Q.exact_quantiles(df, ["k"], "v", {"p9": (0.9, "half_up")}))
+        assert {k: one[k] for k in (None, "n", "all")} == {None: "(4.0,)", "n": "(nan,)", "all": "(nan,)"}
+        mad = rows(Q.median_and_mad(df, ["k"], "v", ("m", "d")))
+        assert {k: mad[k] for k in (None, "n", "all")} == {None: "(2.0, 1.0)", "n": "(2.0, 1.0)", "all": "(nan, nan)"}
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 1000])
 def test_ordered_chunks(spark, chunk):
     xs = [3.0, None, 5.0, 1.0, None, None, 2.0, 8.0, None, 4.0]

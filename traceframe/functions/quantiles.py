@@ -1,9 +1,10 @@
 """Exact grouped quantiles that stay exact and spread out when one group is huge.
 
-`median()` keeps every distinct value of a group in one aggregation buffer. The largest group is therefore counted first.
-Up to SMALL_GROUP values a group is one sorted array. Beyond that a mergeable sketch gives a bracket around each wanted
-rank, rows outside the bracket shrink to one counter by map-side combining, and only the bracket is ordered. The sketch
-never decides the answer: ranks are counted, so the result is exact.
+`median()` keeps every distinct value of a group in one aggregation buffer. Here a mergeable sketch gives a bracket around each
+wanted rank of every group, rows outside the bracket shrink to one counter by map-side combining, and only the bracket is
+ordered. The bracket of a group of up to SMALL_GROUP values is the whole group. All groups go through the same plan, so no
+group's answer depends on the others. The sketch never decides the answer: ranks are counted, so the result is exact.
+A null key is a group like others. NaN counts as larger than every number.
 """
 
 from __future__ import annotations
@@ -33,23 +34,14 @@ def _position(q: float, rule: str, n: Column) -> Column:
     raise ValueError(f"unknown quantile rule {rule!r}")
 
 
-def _largest_group(base: DataFrame, groups: Sequence[str]) -> int:
-    """Rows of the largest group; one cheap counting job."""
-    n = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return n or 0
-
-
-def _sorted_groups(base: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """(groups, _a sorted values, _n) for groups whose size has been checked."""
-    g = base.groupBy(*groups).agg(F.sort_array(F.collect_list("_v")).alias("_values"))
-    return g.withColumn("_n", F.size("_values").cast("bigint"))
-
-
-def _at_position(pos: Column, values: str = "_values") -> Column:
-    """Value of a sorted array at a fractional position."""
-    lo = F.get(values, F.floor(pos).cast("int"))
-    hi = F.get(values, F.ceil(pos).cast("int"))
-    return lo + (hi - lo) * (pos - F.floor(pos))
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of `left` with the columns of `right` for the same keys; nulls equal each other."""
+    for k in keys:
+        right = right.withColumnRenamed(k, f"_of_{k}")
+    if not keys:
+        return left.crossJoin(right)
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(right, same).drop(*[f"_of_{k}" for k in keys])
 
 
 def exact_quantiles(
@@ -62,7 +54,7 @@ def exact_quantiles(
     """One row per key with the exact quantiles `wanted` = {column: q or (q, rule)}; nulls are ignored.
 
     Rules: `linear` interpolates, `half_up` / `half_even` pick the rounded rank of q(n-1), `floor_n` picks rank
-    floor(q n). Keys must not be null.
+    floor(q n). A null key is a group of its own; NaN is larger than every number.
     """
     specs = [(name, *(w if isinstance(w, tuple) else (float(w), "linear"))) for name, w in wanted.items()]
     value = F.col(value) if isinstance(value, str) else value
@@ -70,27 +62,24 @@ def exact_quantiles(
     base = df.select(*(keys or [F.lit(0).alias("_all")]), value.cast("double").alias("_v")).where(
         F.col("_v").isNotNull()
     )
-    if _largest_group(base, groups) <= SMALL_GROUP:
-        g = _sorted_groups(base, groups)
-        out = [_at_position(_position(q, rule, F.col("_n").cast("double"))).alias(name) for name, q, rule in specs]
-        return g.select(*keys, *out, *([F.col("_n").alias(count_name)] if count_name else []))
     slack = 2.0 / ACCURACY
     ends = [e for _, q, _ in specs for e in (max(0.0, q - slack), min(1.0, q + slack))]
+    place = F.nanvl("_v", F.lit(math.inf))
     sketch = base.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_s")
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(place, ends, ACCURACY).alias("_s")
     )
-    small = F.col("_n") <= EXACT_SKETCH
+    small = F.col("_n") <= max(SMALL_GROUP, EXACT_SKETCH)
     tags = []
     for i in range(len(specs)):
-        lo = F.when(small, F.lit(-math.inf)).otherwise(F.col("_s")[2 * i])
-        hi = F.when(small, F.lit(math.inf)).otherwise(F.col("_s")[2 * i + 1])
-        kept = F.when(F.col("_v") >= lo, F.col("_v"))
-        tags.append(F.when(F.col("_v") <= hi, F.struct(F.lit(i).alias("q"), kept.alias("v"))))
-    tagged = base.join(sketch, groups)
+        kept = F.when(place >= F.col("_s")[2 * i], F.col("_v"))
+        tags.append(F.when(place <= F.col("_s")[2 * i + 1], F.struct(F.lit(i).alias("q"), kept.alias("v"))))
+    tagged = _null_safe_join(base, sketch, groups)
+    whole = F.struct(F.lit(-1).alias("q"), F.col("_v").alias("v"))
     if len(specs) == 1:
-        tagged = tagged.select(*groups, "_n", tags[0].alias("_t")).where(F.col("_t").isNotNull())
+        tagged = tagged.select(*groups, "_n", F.when(small, whole).otherwise(tags[0]).alias("_t")).where(F.col("_t").isNotNull())
     else:
-        tagged = tagged.select(*groups, "_n", F.explode(F.array_compact(F.array(*tags))).alias("_t"))
+        several = F.when(small, F.array(whole)).otherwise(F.array_compact(F.array(*tags)))
+        tagged = tagged.select(*groups, "_n", F.explode(several).alias("_t"))
     hist = tagged.groupBy(*groups, F.col("_t.q").alias("_q"), F.col("_t.v").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")
     )
@@ -102,7 +91,7 @@ def exact_quantiles(
     for i, (_, q, rule) in enumerate(specs):
         pos = _position(q, rule, n)
         for tag, rank in (("l", F.floor(pos)), ("h", F.ceil(pos))):
-            hit = (F.col("_q") == i) & (F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to"))
+            hit = F.col("_q").isin(i, -1) & (F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to"))
             picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
     out = hist.groupBy(*groups).agg(F.max("_n").alias("_n"), *picks)
     cols = []
@@ -131,12 +120,7 @@ def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], su
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str, names: tuple[str, str]) -> DataFrame:
     """Exact median and exact median absolute deviation per key."""
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if _largest_group(base, keys) <= SMALL_GROUP:
-        half = (F.col("_n") - 1) / 2
-        g = _sorted_groups(base, keys).withColumn("_med", _at_position(half))
-        g = g.withColumn("_d", F.sort_array(F.transform("_values", lambda v: F.abs(v - F.col("_med")))))
-        return g.select(*keys, F.col("_med").alias(names[0]), _at_position(half, "_d").alias(names[1]))
-    med = exact_quantiles(df, keys, value, {names[0]: 0.5})
-    dev = df.join(med, list(keys)).select(*keys, names[0], F.abs(F.col(value) - F.col(names[0])).alias("_dev"))
+    base = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    med = exact_quantiles(base, keys, "_v", {names[0]: 0.5})
+    dev = _null_safe_join(base, med, keys).select(*keys, names[0], F.abs(F.col("_v") - F.col(names[0])).alias("_dev"))
     return exact_quantiles(dev, [*keys, names[0]], "_dev", {names[1]: 0.5})
