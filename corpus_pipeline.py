@@ -68,7 +68,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", packed),
 ]
 
-#: Trained models and exact packing have no SQL form; the rows are tested against a brute-force version.
+#: Trained models and exact packing have no SQL form; the near-copy stage is tested against all pairs, the others by their operators' tests.
 ORACLE_SQL = None
 
 
