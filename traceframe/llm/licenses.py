@@ -108,7 +108,9 @@ _COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 _SINGLE = (
     ("mit", GRANT, "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", VERSIONED, "expat", "(?:expat|mit expat) licen[sc]e"),
-    ("mit", HINT, "mit", f"{_UNDER} mit"),
+    ("mit", HINT, "under mit", "(?:licen[sc]ed|released|distributed) under mit"),
+    ("mit", HINT, "under the mit", "(?:licen[sc]ed|released|distributed) under the mit"),
+    ("mit", HINT, "terms of the mit", "(?:licen[sc]ed|released|distributed) under the terms of the mit"),
     ("mit", TAG, "opensource org", "opensource org licenses mit(?: license)?"),
     ("mit-0", VERSIONED, "mit no attribution", "mit no attribution(?: licen[sc]e)?"),
     ("x11", VERSIONED, "x11 licen", "x11 licen[sc]e"),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from traceframe.llm.common import mix, stored
 
-_KEY = struct.Struct(">QQQBQ")
+_KEY = struct.Struct(">QQQBQQ")
 _SIGN = 1 << 63
 _EXACT = 1 << 53  # sums of whole numbers below this are exact in a double
 _CELLS = 1 << 22  # scores that a step holds at once
@@ -41,6 +41,10 @@ class Mining:
     block_rows: int = 16384
     block_anchors: int = 4096
 
+    def __post_init__(self) -> None:
+        if not 0 <= self.low <= self.high <= 100:
+            raise ValueError("a window lies below its positive: 0 <= low <= high <= 100")
+
 
 def _whole(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordBatch]:
     """(vec_id, label, is_anchor, vec, size): vectors scaled and floored as 64-bit bytes, rows with a missing or non-finite part left out."""
@@ -111,21 +115,21 @@ class _Kept:
 
     def __init__(self, anchors: int, n: int) -> None:
         self.n = n
-        self.slot = np.zeros(0, dtype=np.int64)
-        self.score, self.id = self.slot, self.slot
+        self.slot = self.score = self.id = self.row = np.zeros(0, dtype=np.int64)
         self.floor = np.full(anchors, np.iinfo(np.int64).min)
 
-    def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         if not len(slot):
             return
-        slot, score, ids = (np.concatenate(x) for x in ((self.slot, slot), (self.score, score), (self.id, ids)))
-        order = np.lexsort((ids, -score, slot))
-        slot, score, ids = slot[order], score[order], ids[order]
+        old = (self.slot, self.score, self.id, self.row)
+        slot, score, ids, rows = (np.concatenate(x) for x in zip(old, (slot, score, ids, rows)))
+        order = np.lexsort((rows, ids, -score, slot))
+        slot, score, ids, rows = slot[order], score[order], ids[order], rows[order]
         place = np.arange(len(slot)) - np.searchsorted(slot, slot)
         keep = place < self.n
         full = place == self.n - 1
         self.floor[slot[full]] = score[full]
-        self.slot, self.score, self.id = slot[keep], score[keep], ids[keep]
+        self.slot, self.score, self.id, self.row = slot[keep], score[keep], ids[keep], rows[keep]
 
 
 def _cell_pairs(batches: Iterator[pa.RecordBatch], how: Mining) -> Iterator[pa.RecordBatch]:
@@ -178,7 +182,7 @@ class _Cell:
 
     def add(self, rows: pa.RecordBatch) -> None:
         names = rows.schema.names
-        ids, labels = (rows.column(names.index(c)).to_numpy() for c in ("vec_id", "label"))
+        ids, labels, uids = (rows.column(names.index(c)).to_numpy() for c in ("vec_id", "label", "uid"))
         vectors = _Vectors(rows.column(names.index("vec")).to_pylist(), int(max(rows.column(names.index("size")).to_numpy())))
         step = max(1, _CELLS // len(ids))
         if self.first_pass:
@@ -189,7 +193,7 @@ class _Cell:
                     score = self.vectors.scores(at, vectors, there)
                     mask = self.id[at][:, None] != ids[there][None, :]
                     i, j = _best(score, ids[there], self.kept[0].floor[at], mask, self.how.positives)
-                    self.kept[0].add(at[i], score[i, j], ids[there][j])
+                    self.kept[0].add(at[i], score[i, j], ids[there][j], uids[there][j])
             return
         for lo in range(0, len(self.uid), step):
             at = np.arange(lo, min(lo + step, len(self.uid)))
@@ -201,25 +205,25 @@ class _Cell:
                     continue
                 mask = other[live] & (score[live] <= high[live, None])
                 i, j = _best(score[live], ids, np.maximum(low, kept.floor[at])[live], mask, self.how.negatives)
-                kept.add(at[live][i], score[live[i], j], ids[j])
+                kept.add(at[live][i], score[live[i], j], ids[j], uids[j])
 
     def out(self) -> Iterator[pa.RecordBatch]:
-        slot, score, ids = (np.concatenate([getattr(k, c) for k in self.kept]) for c in ("slot", "score", "id"))
-        if len(slot):
-            slot, score, ids = np.unique(np.stack([slot, score, ids]), axis=1)
+        pairs = np.stack([np.concatenate([getattr(k, c) for k in self.kept]) for c in ("slot", "score", "id", "row")])
+        if len(self.kept) > 1 and pairs.size:
+            pairs = np.unique(pairs, axis=1)  # windows overlap
         kind = 0 if self.first_pass else 1
-        keys = [pair_key(self.id[s], self.uid[s], p, kind, i) for s, p, i in zip(slot.tolist(), score.tolist(), ids.tolist())]
+        keys = [pair_key(self.id[s], self.uid[s], p, kind, i, r) for s, p, i, r in pairs.T.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
 
 
-def pair_key(anchor: int, uid: int, score: int, kind: int, other: int) -> bytes:
-    """Bytes that sort by anchor, descending score, positives before negatives of the same score, then id."""
-    return _KEY.pack(int(anchor) + _SIGN, int(uid), _SIGN - 1 - score, kind, other + _SIGN)
+def pair_key(anchor: int, uid: int, score: int, kind: int, other: int, row: int) -> bytes:
+    """Bytes that sort by anchor, descending score, positives before negatives of the same score, then id and row."""
+    return _KEY.pack(int(anchor) + _SIGN, int(uid), _SIGN - 1 - score, kind, other + _SIGN, row)
 
 
-def key_parts(key: bytes) -> tuple[int, int, int, int, int]:
-    anchor, uid, score, kind, other = _KEY.unpack(key)
-    return anchor - _SIGN, uid, _SIGN - 1 - score, kind, other - _SIGN
+def key_parts(key: bytes) -> tuple[int, int, int, int, int, int]:
+    anchor, uid, score, kind, other, row = _KEY.unpack(key)
+    return anchor - _SIGN, uid, _SIGN - 1 - score, kind, other - _SIGN, row
 
 
 def _anchor_of(key: bytes) -> int:
@@ -232,15 +236,15 @@ def sorted_pairs(pairs: DataFrame) -> RDD:
     return pairs.rdd.map(lambda row: (bytes(row[0]), None)).repartitionAndSortWithinPartitions(parts, _anchor_of).keys()
 
 
-def first_positives(keys: Iterator[bytes], n: int) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor, uid, score, id) of the first n pairs of each anchor."""
+def first_positives(keys: Iterator[bytes], n: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(anchor, uid, score, id, row) of the first n pairs of each anchor."""
     last, seen = None, 0
     for key in keys:
-        anchor, uid, score, _, other = key_parts(key)
+        anchor, uid, score, _, other, row = key_parts(key)
         seen = seen + 1 if (anchor, uid) == last else 1
         last = anchor, uid
         if seen <= n:
-            yield anchor, uid, score, other
+            yield anchor, uid, score, other, row
 
 
 def windowed_negatives(keys: Iterator[bytes], how: Mining) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -251,7 +255,7 @@ def windowed_negatives(keys: Iterator[bytes], how: Mining) -> Iterator[tuple[int
     last: tuple[int, int] | None = None
     windows: list[list[int]] = []
     for key in keys:
-        anchor, uid, score, kind, other = key_parts(key)
+        anchor, uid, score, kind, other, _ = key_parts(key)
         if (anchor, uid) != last:
             last, windows = (anchor, uid), []
         if kind == 0:
@@ -301,11 +305,10 @@ def hard_negatives(rows: DataFrame, how: Mining = Mining()) -> DataFrame:
     anchors = base.where("is_anchor")
     first = _dealt(base, anchors.withColumn("windows", F.lit(None).cast("array<bigint>")), how, counts)
     found = sorted_pairs(first).mapPartitions(partial(first_positives, n=how.positives))
-    positives = stored(spark.createDataFrame(found, "anchor bigint, uid bigint, score bigint, other bigint", verifySchema=False))
+    positives = stored(spark.createDataFrame(found, "anchor bigint, uid bigint, score bigint, other bigint, row bigint", verifySchema=False))
     scores = positives.groupBy("uid").agg(F.collect_list("score").alias("windows"))  # at most `positives` of an anchor
     second = _dealt(base, anchors.join(scores, "uid"), how, counts)
-    parts = positives.select(F.struct("anchor", "uid", "score", "other").alias("p"))
-    opened = parts.rdd.map(lambda r: (bytearray(pair_key(r.p.anchor, r.p.uid, r.p.score, 0, r.p.other)),))
+    opened = positives.rdd.map(lambda r: (bytearray(pair_key(r.anchor, r.uid, r.score, 0, r.other, r.row)),))
     opening = spark.createDataFrame(opened, "key binary", verifySchema=False)
     out = sorted_pairs(second.unionAll(opening)).mapPartitions(partial(windowed_negatives, how=how))
     schema = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
