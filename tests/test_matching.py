@@ -23,7 +23,8 @@ def clouds(spark):
     return ref, cand, points(spark, "ref", ref), points(spark, "cand", cand)
 
 
-def test_one_to_one(clouds):
+@pytest.mark.parametrize("limit", [M.ROWS_IN_TASK, 7])
+def test_one_to_one(clouds, limit):
     ref, cand, r, c = clouds
     want = set()
     for case in range(4):
@@ -33,12 +34,12 @@ def test_one_to_one(clouds):
         for d, i, j in pairs:
             if d <= 0.55 and i not in used_r and j not in used_c:
                 used_r.add(i), used_c.add(j), want.add((case, i, j))
-    got = {(x["case_id"], x["ref"], x["cand"]) for x in M.greedy_one_to_one(r, c, ["case_id"], 0.55).collect()}
+    got = {(x["case_id"], x["ref"], x["cand"]) for x in M.greedy_one_to_one(r, c, ["case_id"], 0.55, limit).collect()}
     assert got == want
 
 
-@pytest.mark.parametrize("margin", [0.0, 0.1])
-def test_sequential(clouds, margin):
+@pytest.mark.parametrize(("margin", "limit"), [(0.0, 9), (0.1, 9), (0.1, M.ROWS_IN_TASK)])
+def test_sequential(clouds, margin, limit):
     ref, cand, r, c = clouds
     want = {}
     for case in range(4):
@@ -52,12 +53,14 @@ def test_sequential(clouds, margin):
             else:
                 want[case, p[1]] = ("ok", near[0][1])
                 del free[near[0][1]]
-    got = {(x["case_id"], x["ref"]): (x["reason"], x["cand"]) for x in M.sequential_matches(r, c, ["case_id"], 0.6, margin).collect()}
+    got = {(x["case_id"], x["ref"]): (x["reason"], x["cand"]) for x in M.sequential_matches(r, c, ["case_id"], 0.6, margin, limit).collect()}
     assert got == want
 
 
-def test_suppression(clouds):
+@pytest.mark.parametrize("limit", [M.ROWS_IN_TASK, 11])
+def test_suppression(clouds, limit):
     ref, _, r, _ = clouds
+    r = r.withColumn("id", F.struct("ref", F.lit("a")))  # an id of any type
     want = set()
     for case in range(4):
         kept = []
@@ -65,10 +68,29 @@ def test_suppression(clouds):
             if all(math.hypot(p[2] - q[2], p[3] - q[3]) > 0.5 for q in kept):
                 kept.append(p)
         want |= {(case, p[1]) for p in kept}
-    got = M.suppressed(r, ["case_id"], "ref", [-F.col("x"), F.col("ref")], 0.5)
+    got = M.suppressed(r, ["case_id"], "id", [-F.col("x"), F.col("ref")], 0.5, limit)
     assert {(x["case_id"], x["ref"]) for x in got.collect()} == want
 
 
+def test_chain_in_chunks(spark):
+    """Every decision of a falling chain hangs on the one before it."""
+    n, at, gap = 2500, 0.0, 0.5
+    ref, cand = [], []
+    for i in range(n):
+        ref.append((1, i, at, 0.0))
+        at += gap
+        cand.append((1, i, at, 0.0))
+        at += gap * 0.9999
+        gap *= 0.9998
+    got = {(x["ref"], x["cand"]) for x in M.greedy_one_to_one(points(spark, "ref", ref), points(spark, "cand", cand), ["case_id"], 0.6, 1200).collect()}
+    pairs = sorted((abs(a[2] - b[2]), a[1], b[1]) for i, a in enumerate(ref) for b in cand[max(0, i - 4) : i + 4] if abs(a[2] - b[2]) <= 0.6)
+    used_r, used_c, want = set(), set(), set()
+    for _, i, j in pairs:
+        if i not in used_r and j not in used_c:
+            used_r.add(i), used_c.add(j), want.add((i, j))
+    assert got == want
+
+
 def test_nearest_far_away(spark):
     a = points(spark, "i", [(1, 0, 0.0, 0.0), (1, 1, 5.0, 5.0)])
     b = points(spark, "j", [(1, 7, 100.0, 0.0), (1, 8, 5.0, 6.0)])

@@ -1,8 +1,7 @@
 """Spatial joins and order-dependent matching.
 
-Proximity and intersection joins meet on grid cells. Matching that depends on an order is decided apart for each connected
-part of the graph of near points, since no decision crosses parts; finding the parts takes rounds that grow with the logarithm
-of the longest chain, and none has a limit. Rounds are checkpointed.
+Proximity and intersection joins meet on grid cells. Matching that depends on an order is decided in chunks of consecutive
+rows of bounded size, in rounds that end when no chunk changes its decisions. Rounds are checkpointed.
 """
 
 from __future__ import annotations
@@ -72,24 +71,52 @@ def nearest_unique(points: DataFrame, candidates: DataFrame, keys: Sequence[str]
     return j.select(*keys, id_col, "reason", F.when(ok, F.col("cand")).alias("cand"), F.when(ok, F.col("d1")).alias("dist"))
 
 
-def _solved(pairs: DataFrame, keys: Sequence[str], left: str, right: str, solve: Callable[[pd.DataFrame], pd.DataFrame], extra: str) -> DataFrame:
-    """`solve` on the pairs of each connected part of the graph of `left` and `right` points; no decision crosses parts.
+#: Rows that one task decides in order.
+ROWS_IN_TASK = 50_000
+
+
+def _in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """`rows` with `_at`, a number that grows along `order` within the keys: rows are sorted over all partitions, at any group size."""
+    ordered = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return checkpointed(ordered.withColumn("_at", F.monotonically_increasing_id()))
 
-    A part is what a chain of near points ties together, usually far less than a case. It meets in one task.
-    """
-    same = left == right
-    held = checkpointed(pairs)
 
-    def node(c: str, side: str) -> Column:
-        return F.struct(*keys, F.lit("" if same else side).alias("side"), F.col(c).alias("of"))
+def _in_chunks(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], limit: int, whole: str | None = None) -> DataFrame:
+    """`rows` with `_chunk`, consecutive runs along `order` of about `limit` rows; a group up to `limit` is chunk 0 as a whole.
 
-    edges = held.select(node("_l", "l").alias("a"), node("_r", "r").alias("b"))
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    parts = connected_components(nodes, edges).select(F.col("id").alias("_n"), F.xxhash64("component").alias("_part"))
-    tagged = held.withColumn("_n", node("_l", "l")).join(parts, "_n").drop("_n")
-    types = {f.name: f.dataType.simpleString() for f in held.schema.fields}
-    ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    names = list(keys)
+    Rows with equal `whole`, which leads the order, stay together.
+    """
+    ordered = _in_order(rows, keys, order)
+    part = F.shiftright(F.col("_at"), 33)
+    size = ordered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    first = ordered.groupBy(*keys, part.alias("_p")).agg(F.min("_at").alias("_first"))
+    j = ordered.withColumn("_p", part).join(first, [*keys, "_p"]).join(size, list(keys))
+    run = F.floor((F.col("_at") - F.col("_first")) / limit)
+    chunk = F.when(F.col("_n") > limit, (F.col("_p") + 1) * F.lit(1 << 32) + run).otherwise(0).cast("bigint")
+    j = j.withColumn("_chunk", chunk).drop("_p", "_first", "_n")
+    if whole is None:
+        return j
+    least = j.groupBy(*keys, whole).agg(F.min("_chunk").alias("_least"))
+    return j.join(least, [*keys, whole]).withColumn("_chunk", F.col("_least")).drop("_least")
+
+
+def _decided(
+    rows: DataFrame,
+    keys: Sequence[str],
+    told: Callable[[DataFrame, DataFrame | None], DataFrame],
+    solve: Callable[[pd.DataFrame], pd.DataFrame],
+    extra: str,
+) -> DataFrame:
+    """Decisions of a rule that goes through `rows` in order, where each one depends on those before it.
+
+    A chunk is decided in one task, with what `told` adds to its rows about the decisions of earlier chunks: none at first, then
+    those of the round before. When a round changes nothing, each chunk has seen what the ones before it decided, so the
+    result is that of the plain order. After round k the first k chunks are right: rounds end, usually after two or three.
+    Groups of one chunk are right at once.
+    """
+    held = checkpointed(rows)
+    ddl = ", ".join(f"`{k}` {held.schema[k].dataType.simpleString()}" for k in [*keys, "_chunk"])
+    names = [*keys, "_chunk"]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = solve(pdf)
@@ -97,12 +124,41 @@ def _solved(pairs: DataFrame, keys: Sequence[str], left: str, right: str, solve:
             out[n] = v
         return out
 
-    return tagged.groupBy(*keys, "_part").applyInPandas(run, f"{ddl}, {extra.format(**types)}")
+    def round_of(part: DataFrame, before: DataFrame | None) -> DataFrame:
+        return checkpointed(told(part, before).groupBy(*names).applyInPandas(run, f"{ddl}, {extra}"))
+
+    now = round_of(held, None)
+    several = checkpointed(held.groupBy(*keys).agg(F.max("_chunk").alias("_m")).where("_m > 0").select(*keys))
+    if several.isEmpty():
+        return now
+    settled = now.join(several, list(keys), "left_anti")
+    rest = checkpointed(held.join(several, list(keys), "left_semi"))
+    now = checkpointed(now.join(several, list(keys), "left_semi"))
+    while True:
+        new = round_of(rest, now)
+        same = new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty()
+        now = new
+        if same:
+            return settled.unionByName(now)
+
+
+def _claims(picks: DataFrame, keys: Sequence[str], side: str, name: str) -> DataFrame:
+    """First chunk that took each point of a side."""
+    return picks.where(F.col(side).isNotNull()).groupBy(*keys, F.col(side).alias(name)).agg(F.min("_chunk").alias("_by"))
+
+
+def _free(part: DataFrame, before: DataFrame | None, keys: Sequence[str], sides: dict[str, str]) -> DataFrame:
+    """Rows whose points are not taken by an earlier chunk."""
+    for name, side in sides.items() if before is not None else ():
+        part = part.join(_claims(before, keys, side, name), [*keys, name], "left")
+        part = part.where(F.coalesce(F.col("_by") >= F.col("_chunk"), F.lit(True))).drop("_by")
+    return part
 
 
-def greedy_one_to_one(ref: DataFrame, cand: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
+def greedy_one_to_one(ref: DataFrame, cand: DataFrame, keys: Sequence[str], radius: float, limit: int = ROWS_IN_TASK) -> DataFrame:
     """Greedy one-to-one matches by ascending (distance, ref, cand) under a radius: (keys, ref, cand, dist)."""
     pairs = near_pairs(ref, cand, keys, radius).select(*keys, F.col("a_ref").alias("_l"), F.col("b_cand").alias("_r"), "dist")
+    rows = _in_chunks(pairs, keys, ["dist", "_l", "_r"], limit)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         taken_l, taken_r, picked = set(), set(), []
@@ -113,12 +169,16 @@ def greedy_one_to_one(ref: DataFrame, cand: DataFrame, keys: Sequence[str], radi
                 picked.append((l, r, dist))
         return pd.DataFrame(picked, columns=["ref", "cand", "dist"])
 
-    return _solved(pairs, keys, "ref", "cand", solve, "ref {_l}, cand {_r}, dist double")
+    types = dict(rows.dtypes)
+    told = lambda part, before: _free(part, before, keys, {"_l": "ref", "_r": "cand"})
+    return _decided(rows, keys, told, solve, f"ref {types['_l']}, cand {types['_r']}, dist double").drop("_chunk")
 
 
-def sequential_matches(ref: DataFrame, cand: DataFrame, keys: Sequence[str], radius: float, margin: float) -> DataFrame:
+def sequential_matches(ref: DataFrame, cand: DataFrame, keys: Sequence[str], radius: float, margin: float, limit: int = ROWS_IN_TASK) -> DataFrame:
     """Reference points in order of `ref` each take the nearest free candidate or refuse: (keys, ref, reason, cand, dist)."""
     pairs = near_pairs(ref, cand, keys, radius + margin).select(*keys, F.col("a_ref").alias("_l"), F.col("b_cand").alias("_r"), "dist")
+    rows = _in_chunks(pairs, keys, ["_l", "dist", "_r"], limit, "_l")
+    types = dict(rows.dtypes)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         claimed, decided = set(), []
@@ -134,7 +194,8 @@ def sequential_matches(ref: DataFrame, cand: DataFrame, keys: Sequence[str], rad
         out = pd.DataFrame(decided, columns=["ref", "reason", "cand", "dist"])
         return out.astype({"cand": pdf["_r"].dtype.name.replace("int", "Int"), "dist": "Float64"})
 
-    done = _solved(pairs, keys, "ref", "cand", solve, "ref {_l}, reason string, cand {_r}, dist double")
+    told = lambda part, before: _free(part, before, keys, {"_r": "cand"})
+    done = _decided(rows, keys, told, solve, f"ref {types['_l']}, reason string, cand {types['_r']}, dist double").drop("_chunk")
     j = ref.select(*keys, "ref").join(done, [*keys, "ref"], "left")
     return j.select(*keys, "ref", F.coalesce("reason", F.lit("no_candidate")).alias("reason"), "cand", "dist")
 
@@ -161,29 +222,30 @@ def match_counts(ref: DataFrame, cand: DataFrame, matches: DataFrame, keys: Sequ
     )
 
 
-def suppressed(points: DataFrame, keys: Sequence[str], id_col: str, priority: Sequence[Column], radius: float) -> DataFrame:
+def suppressed(points: DataFrame, keys: Sequence[str], id_col: str, priority: Sequence[Column], radius: float, limit: int = ROWS_IN_TASK) -> DataFrame:
     """Keep the best point, drop its neighbours within `radius`, go on: the kept rows. Priority ends with a unique id."""
-    p = points.select(*keys, id_col, "x", "y", F.struct(*priority).alias("rank"))
-    near = near_pairs(p, p, keys, radius).where(F.col("a_rank") < F.col("b_rank"))
-    pairs = near.select(*keys, F.col(f"a_{id_col}").alias("_l"), F.col(f"b_{id_col}").alias("_r"))
+    ranked = _in_order(points.withColumn("_rank", F.struct(*priority)), keys, ["_rank"]).drop("_rank")
+    p = ranked.select(*keys, F.col("_at").alias("no"), "x", "y")
+    near = near_pairs(p, p, keys, radius).where(F.col("a_no") < F.col("b_no"))
+    pairs = near.select(*keys, F.col("a_no").alias("_l"), F.col("b_no").alias("_r"))
+    rows = _in_chunks(pairs, keys, ["_r", "_l"], limit, "_r")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        waits = pdf["_r"].value_counts().to_dict()
-        below = pdf.groupby("_l")["_r"].apply(list).to_dict()
-        ready = [n for n in below if n not in waits]
-        dropped = set()
-        while ready:  # all better neighbours of a ready point are decided
-            n = ready.pop()
-            for worse in below.get(n, ()):
-                if n not in dropped:
-                    dropped.add(worse)
-                waits[worse] -= 1
-                if not waits[worse]:
-                    ready.append(worse)
-        return pd.DataFrame({id_col: pd.Series(sorted(dropped), dtype=pdf["_l"].dtype)})
-
-    lost = _solved(pairs, keys, id_col, id_col, solve, f"`{id_col}` {{_l}}")
-    return points.join(lost, [*keys, id_col], "left_anti")
+        lost: dict[int, bool] = {}
+        for better, worse, gone in pdf.sort_values(["_r", "_l"])[["_l", "_r", "gone"]].itertuples(index=False):
+            kept = not lost.get(better, gone)
+            lost[worse] = lost.get(worse, False) or kept
+        return pd.DataFrame({"no": pd.Series(lost.keys(), dtype="int64"), "lost": pd.Series(lost.values(), dtype="bool")})
+
+    def told(part: DataFrame, before: DataFrame | None) -> DataFrame:
+        """What an earlier chunk decided on the better point; its own chunk decides anew."""
+        if before is None:
+            return part.withColumn("gone", F.lit(False))
+        known = before.where("lost").select(*keys, F.col("no").alias("_l"), F.lit(True).alias("gone"))
+        return part.join(known, [*keys, "_l"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+
+    lost = _decided(rows, keys, told, solve, "no bigint, lost boolean").where("lost")
+    return ranked.join(lost.select(*keys, F.col("no").alias("_at")), [*keys, "_at"], "left_anti").select(*points.columns)
 
 
 # ------------------------------------------------------------- proximity in a trace
