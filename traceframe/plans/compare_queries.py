@@ -65,7 +65,27 @@ def _(spark, d):
     return M.nearest_unique(ref, cand, ["case_id"], "ref", 1.0, 0.25).withColumn("dist", r("dist"))
 
 
-@query("jn08_sequential_matches")
+COUNTED = """SELECT case_id, n_ref AS ref, n_cand AS cand, matched, n_ref - matched AS missing, n_cand - matched AS spurious, ambiguous, CASE WHEN matched > 0 THEN round(list_median, 6) END AS median_error FROM (
+SELECT case_id, coalesce(n_ref, 0) AS n_ref, coalesce(n_cand, 0) AS n_cand, coalesce(len(errs), 0) AS matched, coalesce(amb, 0)::BIGINT AS ambiguous, list_aggregate(errs, 'quantile_cont', 0.5) AS list_median
+FROM (SELECT case_id, count(*) AS n_ref FROM rf GROUP BY 1) FULL JOIN (SELECT case_id, count(*) AS n_cand FROM cd GROUP BY 1) USING (case_id) LEFT JOIN fin USING (case_id))"""
+
+
+@query(
+    "jn08_sequential_matches",
+    V.with_views(
+        SIDES,
+        """pr AS (SELECT * FROM ds WHERE d <= 1.75),
+rn AS (SELECT DISTINCT case_id, ref, dense_rank() OVER (PARTITION BY case_id ORDER BY ref) AS i FROM rf),
+go AS (SELECT DISTINCT case_id, 0::BIGINT AS i, []::BIGINT[] AS cs, []::DOUBLE[] AS errs, 0::BIGINT AS amb FROM rf
+  UNION ALL
+  SELECT case_id, i, CASE WHEN ok THEN list_append(cs, c1) ELSE cs END, CASE WHEN ok THEN list_append(errs, d1) ELSE errs END, amb + CASE WHEN d1 <= 1.5 AND NOT ok THEN 1 ELSE 0 END FROM (
+    SELECT g.case_id, r.i, cs, errs, amb, p.cand AS c1, p.d AS d1, p.d <= 1.5 AND coalesce(lead(p.d) OVER w - p.d >= 0.25, true) AS ok, row_number() OVER w AS k
+    FROM go g JOIN rn r ON r.case_id = g.case_id AND r.i = g.i + 1 LEFT JOIN pr p ON p.case_id = r.case_id AND p.ref = r.ref AND NOT list_contains(g.cs, p.cand)
+    WINDOW w AS (PARTITION BY g.case_id ORDER BY p.d, p.cand)) WHERE k = 1),
+fin AS (SELECT case_id, arg_max(errs, i) AS errs, arg_max(amb, i) AS amb FROM go GROUP BY 1)""",
+        body=COUNTED,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _(spark, d):
     ref, cand = (checkpointed(x) for x in _sides(spark, d))
     m = M.sequential_matches(ref, cand, ["case_id"], 1.5, 0.25)
@@ -73,7 +93,20 @@ def _(spark, d):
     return c.withColumn("median_error", r("median_error"))
 
 
-@query("jn09_one_to_one_matches")
+@query(
+    "jn09_one_to_one_matches",
+    V.with_views(
+        SIDES,
+        """pr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY d, ref, cand) AS k FROM ds WHERE d <= 1.5),
+go AS (SELECT DISTINCT case_id, 0::BIGINT AS k, []::BIGINT[] AS rs, []::BIGINT[] AS cs, []::DOUBLE[] AS errs FROM pr
+  UNION ALL
+  SELECT g.case_id, p.k, list_append(rs, p.ref), list_append(cs, p.cand), list_append(errs, p.d)
+  FROM go g JOIN pr p ON p.case_id = g.case_id AND p.k > g.k AND NOT list_contains(rs, p.ref) AND NOT list_contains(cs, p.cand)
+  QUALIFY row_number() OVER (PARTITION BY g.case_id ORDER BY p.k) = 1),
+fin AS (SELECT case_id, arg_max(errs, k) AS errs, 0 AS amb FROM go GROUP BY 1)""",
+        body=COUNTED,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _(spark, d):
     ref, cand = (checkpointed(x) for x in _sides(spark, d))
     c = M.match_counts(ref, cand, M.greedy_one_to_one(ref, cand, ["case_id"], 1.5), ["case_id"])
@@ -121,7 +154,7 @@ def _(spark, d):
 INTER = SAMPLES + """,
 sg AS (SELECT case_id, stroke, pos, idx, x AS x0, y AS y0, nx AS x1, ny AS y1, arc, sqrt((nx - x) ** 2 + (ny - y) ** 2) AS len FROM sm WHERE nx IS NOT NULL),
 ip AS (SELECT a.case_id, a.idx AS seg_i, b.idx AS seg_j, a.stroke = b.stroke AS same, (a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0) AS den, ((b.x0 - a.x0) * (b.y1 - b.y0) - (b.y0 - a.y0) * (b.x1 - b.x0)) AS na,
-  ((b.x0 - a.x0) * (a.y1 - a.y0) - (b.y0 - a.y0) * (a.x1 - a.x0)) AS nb, a.x0 AS ax, a.x1 - a.x0 AS rx, a.len AS la, b.len AS lb, a.arc AS aa, b.arc AS ab
+  ((b.x0 - a.x0) * (a.y1 - a.y0) - (b.y0 - a.y0) * (a.x1 - a.x0)) AS nb, a.x0 AS ax, a.y0 AS ay, a.x1 - a.x0 AS rx, a.y1 - a.y0 AS ry, b.x1 - b.x0 AS sx, b.y1 - b.y0 AS sy, a.len AS la, b.len AS lb, a.arc AS aa, b.arc AS ab
   FROM sg a JOIN sg b ON b.case_id = a.case_id AND a.idx < b.idx AND (a.stroke <> b.stroke OR b.pos - a.pos >= 2) WHERE a.len >= 1e-9 AND b.len >= 1e-9),
 ic AS (SELECT *, na / den AS ta, nb / den AS tb FROM ip WHERE abs(den) >= 1e-9)"""
 
@@ -141,6 +174,18 @@ def _(spark, d):
 
 @query(
     "wn18_suppressed_crossings",
+    V.with_views(
+        INTER,
+        """cx AS (SELECT case_id, seg_i, seg_j, ax + ta * rx AS x, ay + ta * ry AS y, degrees(acos(least(1.0, abs(rx * sx + ry * sy) / (la * lb)))) AS angle
+  FROM ic WHERE ta >= 0 AND ta < 1 AND tb >= 0 AND tb < 1 AND (NOT same OR abs(ab + tb * lb - aa - ta * la) >= 0.35)),
+o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY angle DESC, seg_i, seg_j) AS k FROM cx WHERE angle >= 15),
+go AS (SELECT DISTINCT case_id, 0::BIGINT AS k, []::STRUCT(x DOUBLE, y DOUBLE, i BIGINT, j BIGINT)[] AS kept FROM o
+  UNION ALL
+  SELECT g.case_id, o.k, CASE WHEN len(list_filter(kept, lambda q: sqrt((q.x - o.x) ** 2 + (q.y - o.y) ** 2) <= 0.05)) = 0
+    THEN list_append(kept, {'x': o.x, 'y': o.y, 'i': o.seg_i, 'j': o.seg_j}) ELSE kept END FROM go g JOIN o ON o.case_id = g.case_id AND o.k = g.k + 1),
+fin AS (SELECT case_id, unnest(arg_max(kept, k)) AS q FROM go GROUP BY 1)""",
+        body="SELECT case_id, q.i AS seg_i, q.j AS seg_j, round(q.x, 6) AS x, round(q.y, 6) AS y FROM fin",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def _(spark, d):
     i = M.self_intersections(M.trace_segments(_samples(spark, d)), 1.0).where("angle >= 15 AND separation >= 0.35")
