@@ -134,22 +134,6 @@ def trace(spark, strokes, case=1):
     return spark.createDataFrame(rows, "case_id BIGINT, stroke BIGINT, pos BIGINT, x DOUBLE, y DOUBLE")
 
 
-def test_identity_scores_are_zero(spark):
-    eight = [(math.sin(2 * t), math.sin(t)) for t in np.linspace(0, 2 * math.pi, 60)]
-    t = trace(spark, [eight, [(0.2, 1.4), (0.3, 1.5)]])
-    row = C.score_rows(t, t, 0.05).first()
-    assert (row["status"], row["dtw"], row["chamfer_cand_ref"], row["chamfer_ref_cand"]) == ("ok", 0.0, 0.0, 0.0)
-    assert (row["marks_missing"], row["marks_spurious"], row["lift_delta"], row["flagged"]) == (0, 0, 0, 0)
-    assert not row["reversed_better"]
-
-
-def test_missing_candidate_keeps_its_row(spark):
-    t = trace(spark, [[(0, 0), (1, 0), (2, 1)]])
-    other = trace(spark, [[(0, 0), (1, 0)]], case=2)
-    row = C.score_rows(t, other, 0.1).first()
-    assert row["status"] == "skipped" and row["dtw"] is None and row["marks_missing"] is None
-
-
 def test_eight_has_one_crossing_and_out_and_back_one_zone(spark):
     step = 0.02
     eight = [(math.sin(2 * t), math.sin(t)) for t in np.linspace(-0.5, 2 * math.pi - 0.6, 200)]

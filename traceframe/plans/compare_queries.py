@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from traceframe.functions import text as X
 from traceframe.functions.quantiles import exact_quantiles
 from traceframe.functions.stats import r
 from traceframe.operators import compare as C
 from traceframe.operators import geometry as G
 from traceframe.operators import matching as M
+from traceframe.operators import scores as S
 from traceframe.plans import views as V
 from traceframe.plans.registry import query
 from traceframe.session import checkpointed
@@ -414,16 +416,29 @@ def _(spark, d):
 
 
 def _cases(spark, d):
-    """Neighbouring users (2k, 2k+1) as reference and candidate of case k; every third candidate is absent."""
+    """Neighbouring users (2k, 2k+1) as reference and candidate of case k; the last user may have no neighbour."""
     t = V.traces(spark, d).withColumn("side", F.col("case_id") % 2).withColumn("case_id", F.floor(F.col("case_id") / 2))
-    return t.where("side = 0").drop("side"), t.where("side = 1 AND case_id % 3 <> 0").drop("side")
+    return t.where("side = 0").drop("side"), t.where("side = 1").drop("side")
+
+
+@query("cp07_two_sided_counters")
+def _(spark, d):
+    c = S.two_sided_counters(*_cases(spark, d), 0.25)
+    rounded = [c_ for c_, kind in c.dtypes if kind == "double"]
+    return c.withColumns({x: r(x) for x in rounded})
 
 
 @query("cp08_score_rows")
 def _(spark, d):
-    s = C.score_rows(*_cases(spark, d), 0.25)
-    cols = [c for c in s.columns if c not in ("dtw", "chamfer_cand_ref", "chamfer_ref_cand")]
-    return s.select(*cols, *[r(c).alias(c) for c in ("dtw", "chamfer_cand_ref", "chamfer_ref_cand")])
+    """Weeks stand for the letters of a word; the ink is what the reference covers at six pixels a unit."""
+    ref, cand = (checkpointed(x) for x in _cases(spark, d))
+    letters = F.array(*[F.lit(k) for k in ("i", "n", "u", "ae", "s", "Oe", "e")])
+    slots = ref.select("case_id", "stroke").distinct().groupBy("case_id").agg(F.collect_list(F.get(letters, F.col("stroke") % 7)).alias("slots"))
+    expected = slots.select("case_id", X.expected_marks(F.col("slots")).alias("marks_expected"))
+    px = (F.col("x") * 6, F.col("y") * 6)
+    ink = C.rasterised(G.segments(ref.withColumn("x", px[0]).withColumn("y", px[1])), ["case_id"], F.lit(64), F.lit(64))
+    s = S.score_rows(ref, cand, 0.25, expected, ink, px)
+    return s.withColumns({c: r(c) for c, kind in s.dtypes if kind == "double"})
 
 
 REG = V.PIXELS + """,
