@@ -129,6 +129,22 @@ def test_alignment_cost_and_path():
         assert sum(math.dist(a[i], b[j]) for i, j in zip(pa, pb, strict=True)) == pytest.approx(cost)
 
 
+def test_tiles_equal_one_task(spark):
+    """Sequences of several tiles, also on a grid where many ways cost the same."""
+    rng = random.Random(6)
+    rows = []
+    for case, (n, m) in enumerate([(23, 40), (40, 17), (8, 8), (30, 3), (1, 19), (26, 26)]):
+        for side, k in (("r", n), ("c", m)):
+            put = (lambda: float(rng.randrange(3))) if case % 2 else rng.random
+            rows += [(case, side, i, put(), put()) for i in range(k)]
+    df = spark.createDataFrame(rows, "case_id BIGINT, side STRING, i BIGINT, x DOUBLE, y DOUBLE")
+    ref, cand = (df.where(F.col("side") == s).drop("side") for s in ("r", "c"))
+    far = lambda f: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f(5, 7).collect())
+    one = lambda f: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f(1000, 7).collect())
+    for f in (lambda limit, tile: C.alignment_pairs(ref, cand, ["case_id"], limit, tile), lambda limit, tile: C.dtw(ref, cand, ["case_id"], limit, tile)):
+        assert far(f) == one(f)
+
+
 def trace(spark, strokes, case=1):
     rows = [(case, s, i, float(x), float(y)) for s, pts in enumerate(strokes) for i, (x, y) in enumerate(pts)]
     return spark.createDataFrame(rows, "case_id BIGINT, stroke BIGINT, pos BIGINT, x DOUBLE, y DOUBLE")

@@ -15,6 +15,7 @@ from traceframe.functions.quantiles import exact_quantiles
 from traceframe.operators import geometry as G
 from traceframe.operators import matching as M
 from traceframe.operators.resample import resample_by_step
+from traceframe.operators.tiles import TILE, tiled_pairs
 from traceframe.session import checkpointed
 
 # ------------------------------------------------------------------- alignment
@@ -87,12 +88,40 @@ def _sequence(pdf: pd.DataFrame) -> np.ndarray:
     return pdf.sort_values("i")[["x", "y"]].to_numpy(dtype=float)
 
 
-def dtw(ref: DataFrame, cand: DataFrame, keys: Sequence[str]) -> DataFrame:
+#: Points of a side up to which an alignment is one task; longer ones are dealt as tiles of the cost matrix.
+POINTS_IN_TASK = 8192
+
+
+def _by_length(ref: DataFrame, cand: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame | None, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]:
+    """Keys with a long side, if any, and both sides of the short and of the long keys."""
+    long = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys) for df in (ref, cand)]
+    long = checkpointed(long[0].union(long[1]).distinct())
+    if long.isEmpty():
+        return None, (ref, cand, ref, cand)
+    return long, tuple(df.join(long, list(keys), how) for how in ("left_anti", "left_semi") for df in (ref, cand))
+
+
+def dtw(ref: DataFrame, cand: DataFrame, keys: Sequence[str], limit: int = POINTS_IN_TASK, tile: int = TILE) -> DataFrame:
     """Alignment summary per key: mean cost, path length, most absorbed points, whether the reverse reads better.
 
-    Both sides hold keys, i, x, y. One key is one alignment: its two sequences meet in one task because every cell
-    depends on the ones before it; the work is spread over the keys.
+    Both sides hold keys, i, x, y. Keys of up to `limit` points a side are one task each, longer ones are dealt as tiles.
     """
+    long, (short_ref, short_cand, long_ref, long_cand) = _by_length(ref, cand, keys, limit)
+    short = _short_dtw(short_ref, short_cand, keys)
+    if long is None:
+        return short
+    way = checkpointed(tiled_pairs(long_ref, long_cand, keys, tile))
+    back = tiled_pairs(long_ref, long_cand.withColumn("i", -F.col("i")), keys, tile)
+    absorbed = [way.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_k")).groupBy(*keys).agg(F.max("_k").alias(f"_{c}")) for c in ("i", "j")]
+    there = way.groupBy(*keys).agg((F.sum("dist") / F.count(F.lit(1))).alias("dtw"), F.count(F.lit(1)).alias("path_len"))
+    j = there.join(absorbed[0], list(keys)).join(absorbed[1], list(keys))
+    j = j.join(back.groupBy(*keys).agg((F.sum("dist") / F.count(F.lit(1))).alias("_back")), list(keys))
+    return short.unionByName(
+        j.select(*keys, "dtw", "path_len", F.greatest("_i", "_j").alias("max_absorption"), (F.col("_back") < F.col("dtw")).alias("reversed_better"))
+    )
+
+
+def _short_dtw(ref: DataFrame, cand: DataFrame, keys: Sequence[str]) -> DataFrame:
     fields = ref.select(*keys).schema.fields
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     names = list(keys)
@@ -111,8 +140,14 @@ def dtw(ref: DataFrame, cand: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _cogrouped(ref, cand, keys).applyInPandas(align, out)
 
 
-def alignment_pairs(ref: DataFrame, cand: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Matched pairs of the alignment: (keys, i, j, dist)."""
+def alignment_pairs(ref: DataFrame, cand: DataFrame, keys: Sequence[str], limit: int = POINTS_IN_TASK, tile: int = TILE) -> DataFrame:
+    """Matched pairs of the alignment: (keys, i, j, dist), the points of each side numbered from 0."""
+    long, (short_ref, short_cand, long_ref, long_cand) = _by_length(ref, cand, keys, limit)
+    short = _short_pairs(short_ref, short_cand, keys)
+    return short if long is None else short.unionByName(tiled_pairs(long_ref, long_cand, keys, tile).select(short.columns))
+
+
+def _short_pairs(ref: DataFrame, cand: DataFrame, keys: Sequence[str]) -> DataFrame:
     fields = ref.select(*keys).schema.fields
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     names = list(keys)
