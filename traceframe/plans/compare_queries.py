@@ -324,12 +324,40 @@ def _sequences(spark, d):
     return a, b
 
 
-@query("cp01_dtw")
+WARP = V.with_views(
+    SIDES,
+    """gp AS (SELECT case_id, ref AS i, list(d ORDER BY cand) AS gl FROM ds GROUP BY 1, 2),
+gd AS (SELECT case_id, 0 AS back, i, gl FROM gp UNION ALL SELECT case_id, 1, i, list_reverse(gl) FROM gp),
+co AS (SELECT case_id, back, i, list_reduce(list_transform(gl, lambda x: [x]), lambda acc, x: list_append(acc, x[1] + coalesce(acc[-1], 0)), []::DOUBLE[]) AS c FROM gd WHERE i = 0
+  UNION ALL
+  SELECT g.case_id, g.back, g.i, list_reduce(list_transform(range(1, len(g.gl) + 1), lambda j: [g.gl[j], least(p.c[j], coalesce(p.c[j - 1], 'inf'::DOUBLE))]),
+    lambda acc, x: list_append(acc, x[1] + least(x[2], coalesce(acc[-1], 'inf'::DOUBLE))), []::DOUBLE[])
+  FROM co p JOIN gd g ON g.case_id = p.case_id AND g.back = p.back AND g.i = p.i + 1),
+pa AS (SELECT case_id, back, max(i) AS i, len(arg_max(c, i)) AS j FROM co GROUP BY 1, 2
+  UNION ALL
+  SELECT case_id, back, i - CASE WHEN move < 2 THEN 1 ELSE 0 END, j - CASE WHEN move <> 1 THEN 1 ELSE 0 END FROM (
+    SELECT p.case_id, p.back, p.i, p.j, CASE WHEN o.c IS NULL THEN 2 WHEN p.j = 1 THEN 1 WHEN o.c[p.j - 1] <= o.c[p.j] AND o.c[p.j - 1] <= n.c[p.j - 1] THEN 0 WHEN o.c[p.j] <= n.c[p.j - 1] THEN 1 ELSE 2 END AS move
+    FROM pa p JOIN co n ON n.case_id = p.case_id AND n.back = p.back AND n.i = p.i LEFT JOIN co o ON o.case_id = p.case_id AND o.back = p.back AND o.i = p.i - 1
+    WHERE p.i > 0 OR p.j > 1)),
+ln AS (SELECT case_id, back, count(*) AS k FROM pa GROUP BY 1, 2),
+mean AS (SELECT case_id, back, k, arg_max(c, i)[-1] / k AS v FROM co JOIN ln USING (case_id, back) GROUP BY 1, 2, 3),
+ab AS (SELECT case_id, max(k) AS k FROM (SELECT case_id, i, count(*) AS k FROM pa WHERE back = 0 GROUP BY 1, 2 UNION ALL SELECT case_id, j, count(*) FROM pa WHERE back = 0 GROUP BY 1, 2) GROUP BY 1)""",
+    body="{}",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "cp01_dtw",
+    WARP.replace("{}", "SELECT f.case_id, round(f.v, 6) AS dtw, f.k AS path_len, ab.k AS max_absorption, r.v < f.v AS reversed_better FROM mean f JOIN mean r ON r.case_id = f.case_id AND r.back = 1 JOIN ab ON ab.case_id = f.case_id WHERE f.back = 0"),
+)
 def _(spark, d):
     return C.dtw(*_sequences(spark, d), ["case_id"]).withColumn("dtw", r("dtw"))
 
 
-@query("cp02_residual_profile")
+@query(
+    "cp02_residual_profile",
+    WARP.replace("{}", "SELECT case_id, pa.i, round(avg(d), 6) AS residual FROM pa JOIN ds USING (case_id) WHERE back = 0 AND ds.ref = pa.i AND ds.cand = pa.j - 1 GROUP BY 1, 2"),
+)
 def _(spark, d):
     p = C.residual_profile(C.alignment_pairs(*_sequences(spark, d), ["case_id"]), ["case_id"])
     return p.withColumn("residual", r("residual"))
