@@ -390,6 +390,56 @@ def nearest_distances(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: flo
         size *= 2
 
 
+def _segment_distance(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Distance of a point from a segment, which may be a point."""
+    dx, dy = x1 - x0, y1 - y0
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x0) * dx + (py - y0) * dy) / square))).otherwise(0.0)
+    return F.hypot(px - (x0 + t * dx), py - (y0 + t * dy))
+
+
+def _segment_cells(segs: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
+    """Segments once for each cell that they run through: column by column, the rows between the heights at its sides."""
+    lx, hx = F.least("x0", "x1"), F.greatest("x0", "x1")
+    s = segs.withColumn("_cx", F.explode(F.sequence(F.floor(lx / size), F.floor(hx / size))))
+    slope = F.when(hx > lx, (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")))
+    at = lambda x: F.col("y0") + slope * (x - F.col("x0"))
+    a, b = at(F.greatest(lx, F.col("_cx") * size)), at(F.least(hx, (F.col("_cx") + 1) * size))
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    # a little wider than computed, so that rounding leaves no cell out
+    slack = size * 1e-6
+    y_lo = F.when(slope.isNull(), low).otherwise(F.greatest(low, F.least(a, b) - slack))
+    y_hi = F.when(slope.isNull(), high).otherwise(F.least(high, F.greatest(a, b) + slack))
+    return s.withColumn("_cy", F.explode(F.sequence(F.floor(y_lo / size), F.floor(y_hi / size))))
+
+
+def nearest_segments(points: DataFrame, segs: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """Exact distance of each point to the nearest segment of the same keys: its columns, dist and the segment's `owner`.
+
+    segs(keys, owner, x0, y0, x1, y1); a segment may be a point. A segment within one cell width of a point runs through one of the
+    nine cells around it, so such a point is settled; the others go on with cells twice as wide. Ties go to the smaller owner.
+    Keys without a segment are left out.
+    """
+    rest = [c for c in points.columns if c not in keys]
+    held = checkpointed(segs.select(*keys, "owner", "x0", "y0", "x1", "y1"))
+    todo = checkpointed(points.join(held.select(*keys).distinct(), list(keys), "left_semi").withColumn("_row", F.monotonically_increasing_id()))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    out, size = None, cell
+    while True:
+        cells = _segment_cells(held, keys, size)
+        p = todo.select(*keys, "_row", F.col("x").alias("_x"), F.col("y").alias("_y"), around.alias("_o"))
+        p = p.withColumn("_cx", F.floor(F.col("_x") / size) + F.col("_o.i")).withColumn("_cy", F.floor(F.col("_y") / size) + F.col("_o.j"))
+        d = _segment_distance(F.col("_x"), F.col("_y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+        near = p.join(cells, [*keys, "_cx", "_cy"]).withColumn("dist", d).where(F.col("dist") <= size)
+        best = near.groupBy(*keys, "_row").agg(F.min(F.struct("dist", "owner")).alias("_b"))
+        found = checkpointed(todo.join(best.select(*keys, "_row", "_b.dist", "_b.owner"), [*keys, "_row"]))
+        out = found if out is None else out.unionByName(found)
+        todo = checkpointed(todo.join(found.select("_row"), "_row", "left_anti"))
+        if todo.isEmpty():
+            return out.select(*keys, *rest, "dist", "owner")
+        size *= 2
+
+
 def assigned_to_bands(comps: DataFrame, bands: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
     """Band of each component: the largest overlap (ties to the later band), else the nearest band that starts below its
     centre within `reach`, else null. comps(id, y0, y1), bands(band, b0, b1)."""

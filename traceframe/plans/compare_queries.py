@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceframe.functions import text as X
+from traceframe.functions.ordered import neighbours
 from traceframe.functions.quantiles import exact_quantiles
 from traceframe.functions.stats import r
 from traceframe.operators import compare as C
@@ -228,6 +229,28 @@ def _boxes(spark, d):
     return c, b.select(F.col("s_suppkey").alias("page"), k.cast("bigint").alias("band"), top.alias("b0"), (top + 60).alias("b1"))
 
 
+@query(
+    "jn12_segment_distances",
+    V.with_views(
+        SIDES,
+        """q AS (SELECT case_id, 'ref' AS side, ref AS pos, x, y FROM rf UNION ALL SELECT case_id, 'cand', cand, x, y FROM cd),
+sg AS (SELECT case_id, side, pos, x AS x0, y AS y0, coalesce(lead(x) OVER w, x) AS x1, coalesce(lead(y) OVER w, y) AS y1, lead(x) OVER w IS NULL AND pos > 0 AS tail FROM q WINDOW w AS (PARTITION BY case_id, side ORDER BY pos)),
+pj AS (SELECT p.case_id, p.side, p.pos, p.x, p.y, s.*, (s.x1 - s.x0) ** 2 + (s.y1 - s.y0) ** 2 AS l2 FROM q p JOIN (SELECT case_id AS sc, side AS ss, pos AS sp, x0, y0, x1, y1 FROM sg WHERE NOT tail) s ON s.sc = p.case_id AND s.ss <> p.side),
+tt AS (SELECT *, CASE WHEN l2 > 0 THEN greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / l2)) ELSE 0 END AS t FROM pj),
+dd AS (SELECT case_id, side, pos, min(sqrt((x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2)) AS d FROM tt GROUP BY 1, 2, 3)""",
+        body="SELECT case_id, side, count(*) AS n, round(avg(d), 6) AS mean, round(max(d), 6) AS worst FROM dd GROUP BY 1, 2",
+    ),
+)
+def _(spark, d):
+    ref, cand = (x.withColumnRenamed(n, "pos") for x, n in zip(_sides(spark, d), ("ref", "cand")))
+    q = checkpointed(ref.withColumn("side", F.lit("ref")).unionByName(cand.withColumn("side", F.lit("cand"))))
+    other = F.when(F.col("side") == "ref", "cand").otherwise("ref")
+    n = neighbours(q, ["case_id", "side"], "pos", {"x1": ("x", 1), "y1": ("y", 1)}).where(F.col("x1").isNotNull() | (F.col("pos") == 0))
+    segs = n.select("case_id", other.alias("side"), F.col("pos").alias("owner"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.coalesce("x1", "x").alias("x1"), F.coalesce("y1", "y").alias("y1"))
+    near = M.nearest_segments(q, segs, ["case_id", "side"], 0.5)
+    return near.groupBy("case_id", "side").agg(F.count(F.lit(1)).alias("n"), r(F.avg("dist")).alias("mean"), r(F.max("dist")).alias("worst"))
+
+
 @query(
     "jn13_assigned_bands",
     V.with_views(

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceframe.functions.stats import r
+from traceframe.functions.udtf import register_resample
 from traceframe.operators import geometry as G
 from traceframe.operators import resample as Rs
 from traceframe.operators import runs as R
+from traceframe.operators import straight as T
 from traceframe.plans import views as V
 from traceframe.plans.registry import query
 
@@ -105,6 +107,59 @@ def _(spark, d):
     return G.islands(t, STROKE, "pos", "hot", 1, 3).withColumns({c: F.col(c).cast("bigint") for c in ("start", "end")})
 
 
+@query(
+    "wn10_vertical_runs",
+    V.with_views(
+        STEPS,
+        """a0 AS (SELECT *, count(*) OVER (PARTITION BY case_id, stroke) AS np, sum(coalesce(sp, 0)) OVER (PARTITION BY case_id, stroke ORDER BY pos) AS arc, coalesce(nx, x) - coalesce(px, x) AS dx, coalesce(ny, y) - coalesce(py, y) AS dy FROM st),
+vf AS (SELECT *, pos - row_number() OVER (PARTITION BY case_id, stroke ORDER BY pos) AS g FROM a0 WHERE np >= 4 AND degrees(atan2(abs(dx), abs(dy))) <= 40),
+vr AS (SELECT case_id, stroke, g, min(pos) AS a, max(pos) AS b, max(arc) - min(arc) AS arc, arg_min(x, pos) AS x0, arg_min(y, pos) AS y0, arg_max(x, pos) AS x1, arg_max(y, pos) AS y1 FROM vf GROUP BY 1, 2, 3),
+vb AS (SELECT vr.case_id, vr.stroke, a, b, vr.arc, max(CASE WHEN sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) < 1e-6 THEN 'inf'::DOUBLE ELSE abs((x1 - x0) * (vf.y - y0) - (y1 - y0) * (vf.x - x0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2) END) AS bow
+  FROM vr JOIN vf USING (case_id, stroke, g) WHERE vr.arc >= 0.45 AND b > a GROUP BY 1, 2, 3, 4, 5)""",
+        body='SELECT case_id, stroke, a AS start, b AS "end", round(arc, 6) AS arc, round(bow, 6) AS bow FROM vb WHERE bow <= 0.15',
+    ),
+)
+def _(spark, d):
+    """The sample traces are jagged, so angle and bow are wider here than by default."""
+    v = T.vertical_runs(V.traces(spark, d), angle=40.0, bow=0.15)
+    return v.select(*STROKE, F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), r("arc").alias("arc"), r("bow").alias("bow"))
+
+
+@query(
+    "wn10_merged_events",
+    V.with_views(
+        V.TRACE,
+        """f AS (SELECT *, pos - lag(pos) OVER (PARTITION BY case_id, stroke ORDER BY pos) AS gap FROM trace WHERE y > 1.2),
+g AS (SELECT *, sum(CASE WHEN gap > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY case_id, stroke ORDER BY pos) AS isl FROM f)""",
+        body='SELECT case_id, stroke, min(pos) AS start, max(pos) AS "end", count(*) AS n, round((max(pos) - min(pos)) * 0.1::DOUBLE, 6) AS arc FROM g GROUP BY 1, 2, isl HAVING (max(pos) - min(pos)) * 0.1::DOUBLE >= 0.25::DOUBLE',
+    ),
+)
+def _(spark, d):
+    t = V.traces(spark, d).withColumn("hot", F.col("y") > 1.2)
+    e = T.merged_events(t, STROKE, "pos", "hot", 0.1)
+    return e.select(*STROKE, F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "n", r("arc").alias("arc"))
+
+
+@query(
+    "wn10_row_bands",
+    """WITH p AS (SELECT l_suppkey AS page, l_orderkey % 400 AS y, count(*) AS k FROM lineitem WHERE l_orderkey % 400 % 97 < 60 GROUP BY 1, 2),
+gg AS (SELECT a.page, a.yy AS y, coalesce(p.k, 0) AS n FROM (SELECT page, unnest(range(400)) AS yy FROM (SELECT DISTINCT page FROM p)) a LEFT JOIN p ON p.page = a.page AND p.y = a.yy),
+s AS (SELECT *, sum(n) OVER (PARTITION BY page ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) / 9 AS smooth FROM gg),
+t AS (SELECT page, quantile_cont(smooth, 0.99::DOUBLE) AS top FROM s WHERE smooth > 0 GROUP BY 1),
+f AS (SELECT s.*, y - lag(y) OVER (PARTITION BY page ORDER BY y) - 1 AS gap FROM s JOIN t USING (page) WHERE smooth >= 0.30::DOUBLE * top),
+i AS (SELECT *, sum(CASE WHEN gap >= 14 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y) AS isl FROM f),
+b AS (SELECT page, min(y) AS y0, max(y) + 1 AS y1 FROM i GROUP BY page, isl HAVING max(y) + 1 - min(y) >= 22)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY y0) - 1 AS band, y0, y1 FROM b""",
+)
+def _(spark, d):
+    """Orders as pixels of a page for each supplier, with bare stripes between the lines."""
+    li = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") % 400).alias("y")).where("y % 97 < 60")
+    every = li.select("page").distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(399).cast("bigint"))))
+    rows = every.join(li.groupBy("page", "y").agg(F.count(F.lit(1)).alias("n")), ["page", "y"], "left").fillna(0, ["n"])
+    b = T.row_bands(rows, ["page"])
+    return b.select("page", *[F.col(c).cast("bigint").alias(c) for c in ("band", "y0", "y1")])
+
+
 @query(
     "wn11_gap_clusters",
     """WITH b AS (SELECT l_suppkey AS line, l_orderkey * 10 + l_linenumber AS k, min(l_extendedprice / 100) AS x0, min(l_extendedprice / 100 + l_quantity / 10) AS x1 FROM lineitem GROUP BY 1, 2),
@@ -252,6 +307,20 @@ def _(spark, d):
     return s.groupBy(*STROKE).agg(F.count(F.lit(1)).alias("n"), r(F.avg("x")).alias("mean_x"), r(F.avg("y")).alias("mean_y"), r(F.max("x")).alias("max_x"))
 
 
+@query(
+    "ud03_resample_table_function",
+    V.with_views(
+        _resample_sql("CASE WHEN total > 0 THEN greatest(2, round_even(total / 0.5::DOUBLE, 0) + 1) ELSE 2 END"),
+        body="SELECT case_id, stroke, CAST(i AS BIGINT) AS i, round(x, 6) AS x, round(y, 6) AS y FROM rs",
+    ),
+)
+def _(spark, d):
+    register_resample(spark, "traceframe_resample")
+    t = V.traces(spark, d)
+    s = spark.sql("SELECT * FROM traceframe_resample(TABLE(SELECT * FROM {t}) PARTITION BY (case_id, stroke) ORDER BY (pos), 0.5D)", t=t)
+    return s.select(*STROKE, "i", r("x").alias("x"), r("y").alias("y"))
+
+
 @query(
     "sm02_resample_to_n",
     V.with_views(_resample_sql("24"), body="SELECT case_id, stroke, CAST(i AS BIGINT) AS i, round(x, 6) AS x, round(y, 6) AS y FROM rs"),
@@ -392,6 +461,26 @@ def _(spark, d):
     return s.select("case_id", r("mean").alias("mean"), r("p90").alias("p90"))
 
 
+@query(
+    "sm08_join_displacement",
+    V.with_views(
+        STEPS,
+        """ar AS (SELECT case_id, stroke, pos, x, y, sum(coalesce(sp, 0)) OVER (PARTITION BY case_id, stroke ORDER BY pos) AS arc FROM st),
+dl AS (SELECT *, abs(x - y) AS d, max(arc) OVER (PARTITION BY case_id, stroke) AS total, stroke = max(stroke) OVER (PARTITION BY case_id) AS joined FROM ar),
+m AS (SELECT case_id, median(d) AS m FROM dl GROUP BY 1),
+nr AS (SELECT case_id, abs(d - m) AS dev, joined AND CASE WHEN case_id % 2 = 0 THEN total - arc ELSE arc END <= 4 AS near FROM dl JOIN m USING (case_id))""",
+        body="SELECT case_id, round(coalesce(avg(dev) FILTER (near), 0), 6) AS near, count(*) FILTER (near) AS n_near, round(coalesce(avg(dev) FILTER (NOT near), 0), 6) AS rest, count(*) FILTER (NOT near) AS n_rest FROM nr GROUP BY 1",
+    ),
+)
+def _(spark, d):
+    """The last week of a user holds the join, at its end for every other user; displacement is the distance of both coordinates."""
+    t = V.traces(spark, d)
+    last = t.groupBy("case_id").agg(F.max("stroke").alias("_last"))
+    rows = t.join(last, "case_id").withColumn("joined", F.col("stroke") == F.col("_last"))
+    j = T.displacement_at_join(rows, ["case_id"], F.abs(F.col("x") - F.col("y")), F.col("case_id") % 2 == 0, 4.0)
+    return j.select("case_id", r("near").alias("near"), "n_near", r("rest").alias("rest"), "n_rest")
+
+
 @query(
     "sm09_line_fits",
     V.with_views(
