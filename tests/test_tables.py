@@ -1,7 +1,11 @@
 """Writes, refusals, readers and streams in temporary folders."""
 
+import datetime as dt
 import json
+import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,21 +155,75 @@ def test_transition_rule_matches_its_stream_twin(spark):
 
 
 def test_tallies_in_many_batches_equal_one_batch(spark, tiny, tmp_path):
+    """Files of mixed order within the delay, one of them twice; a file far behind is counted as late."""
     from traceframe.operators.words import session_tallies
     from traceframe.functions.ordered import dense_position
     from traceframe.plans import views as V
 
-    e = V.table(spark, tiny, "events").withColumn("ok", F.col("event_type") != "error")
+    e = V.table(spark, tiny, "events").withColumn("ok", F.col("event_type") != "error").withColumn("ts", F.col("ts").cast("timestamp"))
     folder = tmp_path / "in"
     ordered = e.orderBy("ts", "event_id").toPandas()
-    for i in range(4):
-        part = spark.createDataFrame(ordered.iloc[i * 250 : (i + 1) * 250], e.schema)
-        part.coalesce(1).write.mode("append").parquet(str(folder))
+    n = len(ordered) // 6
+    cuts = [ordered.iloc[i * n : (i + 1) * n] if i < 5 else ordered.iloc[5 * n :] for i in range(6)]
+    files = [cuts[0].iloc[::-1], cuts[2], cuts[1], cuts[2], cuts[3], cuts[5], cuts[4]]
+    for f in files:
+        spark.createDataFrame(f, e.schema).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.01)
     stream = J.file_stream(spark, str(folder), "*.parquet", e.schema, per_batch=1)
-    got = J.stream_tallies(stream, ["user_id"], ["ts", "event_id"], V.hour_bucket("ts"), "ok", str(tmp_path / "out"))
+    got = J.stream_tallies(stream, ["user_id"], "ts", "event_id", "ok", 365 * 86400, str(tmp_path / "out"))
     pos = dense_position(e, ["user_id"], ["ts", "event_id"], V.hour_bucket("ts"))
     cols = ["user_id", "seen", "correct", "streak", "best_streak"]
     assert rows(got, *cols) == rows(session_tallies(pos, ["user_id"], "pos", "ok"), *cols)
+    assert got.where("late > 0").isEmpty()
+    behind = tmp_path / "behind"
+    for i in (0, 2, 3, 1):
+        spark.createDataFrame(cuts[i], e.schema).coalesce(1).write.mode("append").parquet(str(behind))
+        time.sleep(0.01)
+    stream = J.file_stream(spark, str(behind), "*.parquet", e.schema, per_batch=1)
+    seen, late = J.stream_tallies(stream, ["user_id"], "ts", "event_id", "ok", 3600, str(tmp_path / "strict")).agg(F.sum("seen"), F.sum("late")).first()
+    assert 0 < late <= n and seen + late == 4 * n  # two batches behind: left out and named
+
+
+def test_runs_fold_in_any_cut():
+    rng = random.Random(2)
+    for _ in range(50):
+        ok = np.array([rng.random() < 0.7 for _ in range(rng.randrange(0, 40))], dtype=bool)
+        whole, cut = J.folded((0, 0, 0, 0), ok), (0, 0, 0, 0)
+        at = 0
+        while at < len(ok):
+            step = rng.randrange(1, 9)
+            cut = J.folded(cut, ok[at : at + step])
+            at += step
+        text = "".join("x" if o else " " for o in ok)
+        assert cut == whole == (len(ok), int(ok.sum()), max(map(len, text.split()), default=0), len(text) - len(text.rstrip("x")))
+
+
+def changes_folder(spark, folder, batches):
+    ddl = "item_id BIGINT, change_id BIGINT, at TIMESTAMP, " + J.STATE_DDL
+    for batch in batches:
+        spark.createDataFrame([(i, c, dt.datetime(2024, 1, 1, 0, m), None, *f) for i, c, m, f in batch], ddl).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.01)
+    return J.file_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema, per_batch=1)
+
+
+def test_changes_in_the_wrong_order(spark, tmp_path):
+    ack = (1, 10, 1, ("ack", "seen", "yes", None, None))
+    done = (1, 20, 2, ("done", None, None, "compose", "fixed"))
+    other = (2, 5, 3, ("ack", None, None, None, None))
+    after = [(9, 99, 50, ("open", None, None, None, None))], [(9, 100, 55, ("open", None, None, None, None))]
+    right = [(1, 10, None, "ack"), (1, 20, None, "done"), (2, 5, "ack_missing", "open")]
+    show = lambda df: sorted(tuple(r) for r in df.where("item_id < 9").collect())
+    for n, (batches, delay, want) in enumerate(
+        [
+            ([[ack], [done, other]], None, right),
+            ([[done, ack, other]], None, right),
+            ([[done, other], [ack]], None, [(1, 10, "late_change", "open"), (1, 20, "not_understood", "open"), (2, 5, "ack_missing", "open")]),
+            ([[done, other], [ack], *after], "10 minutes", right),
+        ]
+    ):
+        stream = changes_folder(spark, str(tmp_path / f"in{n}"), batches)
+        out = J.stream_to_folder(J.life_cycle(stream, delay), str(tmp_path / f"out{n}"), str(tmp_path / f"state{n}"))
+        assert show(out) == want, n
 
 
 def test_protected_stream(spark, tmp_path):

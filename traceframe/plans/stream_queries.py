@@ -16,8 +16,8 @@ def _events(spark, d):
 
 @query("st_r1_live_tallies", V.with_views(STREAKS, body=STREAK_BODY))
 def _(spark, d):
-    e = _events(spark, d).withColumn("ok", F.col("event_type") != "error")
-    out = J.stream_tallies(e, ["user_id"], ["ts", "event_id"], V.hour_bucket("ts"), "ok", J.work_folder(spark))
+    e = _events(spark, d).withColumn("ok", F.col("event_type") != "error").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = J.stream_tallies(e, ["user_id"], "ts", "event_id", "ok", 86400, J.work_folder(spark))
     return out.select("user_id", "seen", "correct", "streak", "best_streak")
 
 
