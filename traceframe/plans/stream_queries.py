@@ -32,7 +32,25 @@ def _(spark, d):
     return spark.read.parquet(f"{folder}/table").select(F.col("part").cast("bigint").alias("part"), "user_id", "event_type", "event_id")
 
 
-@query("st_r3_life_cycle")
+@query(
+    "st_r3_life_cycle",
+    """WITH RECURSIVE c AS (SELECT user_id AS item_id, event_id AS change_id, CASE WHEN event_id % 9 = 0 THEN 'note' END AS kind,
+  CASE event_type WHEN 'signup' THEN 'ack' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'returned' WHEN 'view' THEN 'open' END AS status,
+  CASE WHEN event_type = 'signup' AND event_id % 3 <> 0 THEN 'I see' END AS understanding, CASE WHEN event_type = 'signup' AND event_id % 5 <> 0 THEN 'yes' END AS reproduced,
+  CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'compose' END AS stage, CASE WHEN event_type IN ('purchase', 'error') AND event_id % 7 <> 0 THEN 'fixed' END AS resolution,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+go AS (SELECT DISTINCT item_id, 0::BIGINT AS k, NULL::BIGINT AS change_id, NULL::VARCHAR AS problem, 'glyph' AS kind, 'open' AS status, NULL::VARCHAR AS understanding, NULL::VARCHAR AS reproduced, NULL::VARCHAR AS stage, NULL::VARCHAR AS resolution FROM c
+  UNION ALL
+  SELECT item_id, k, change_id, p, CASE WHEN p IS NULL THEN coalesce(nk, kind) ELSE kind END, CASE WHEN p IS NULL THEN coalesce(ns, status) ELSE status END, CASE WHEN p IS NULL THEN coalesce(nu, understanding) ELSE understanding END,
+    CASE WHEN p IS NULL THEN coalesce(nr, reproduced) ELSE reproduced END, CASE WHEN p IS NULL THEN coalesce(ng, stage) ELSE stage END, CASE WHEN p IS NULL THEN coalesce(nn, resolution) ELSE resolution END FROM (
+    SELECT g.item_id, c.k, c.change_id, g.kind, g.status, g.understanding, g.reproduced, g.stage, g.resolution, c.kind AS nk, c.status AS ns, c.understanding AS nu, c.reproduced AS nr, c.stage AS ng, c.resolution AS nn,
+      CASE WHEN coalesce(c.status, '') NOT IN ('ack', 'done', 'returned') THEN CASE WHEN coalesce(c.understanding, c.reproduced, c.stage, c.resolution) IS NOT NULL THEN 'protocol_without_transition' END
+        WHEN c.status <> 'ack' AND g.understanding IS NULL THEN 'not_understood'
+        WHEN c.status = 'ack' THEN CASE WHEN coalesce(c.understanding, g.understanding) IS NULL OR coalesce(c.reproduced, g.reproduced) IS NULL THEN 'ack_missing' END
+        WHEN coalesce(c.resolution, g.resolution) IS NULL OR (g.kind <> 'note' AND coalesce(c.stage, g.stage) IS NULL) THEN 'close_missing' END AS p
+    FROM go g JOIN c ON c.item_id = g.item_id AND c.k = g.k + 1))
+SELECT item_id, change_id, problem, status FROM go WHERE k > 0""",
+)
 def _(spark, d):
     t, m = F.col("event_type"), F.col("event_id")
     c = _events(spark, d).select(
