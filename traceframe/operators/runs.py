@@ -432,6 +432,21 @@ def content_dedupe(rows: DataFrame, content: Sequence[str], id_col: str) -> Data
     )
 
 
+def covered_keys(rows: DataFrame, content: Sequence[str], id_col: str) -> DataFrame:
+    """(kept, covered): every id beside the first id with the same content, itself included; no list of a group is built."""
+    digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
+    keyed = rows.select(F.col(id_col).alias("covered"), digest.alias("digest"))
+    first = keyed.groupBy("digest").agg(F.min("covered").alias("kept"))
+    return keyed.join(first, "digest").select("kept", "covered")
+
+
+def merged_boxes(rows: DataFrame, keys: Sequence[str], priority: Sequence[str], locked: str) -> DataFrame:
+    """One row per key, the first by `priority`; it is locked if any of the rows was."""
+    rest = [c for c in rows.columns if c not in (*keys, locked)]
+    g = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*priority)).alias("_b"), F.bool_or(F.coalesce(F.col(locked), F.lit(False))).alias(locked))
+    return g.select(*keys, "_b.*", locked)
+
+
 def collapse_siblings(rows: DataFrame, keys: Sequence[str], priority: str, content: str, variant: str) -> DataFrame:
     """Collapse rows that fall on one key: the best priority keeps its variant, equal content goes away, different
     content moves to the next free variants after the highest stored one."""

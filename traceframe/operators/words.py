@@ -225,6 +225,27 @@ def weighted_sample(rows: DataFrame, keys: Sequence[str], k: int, weight: Column
     return keyed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("_key")
 
 
+#: Fixed value: weight of a pinned row that is not the first pick.
+PIN_WEIGHT = 8.0
+
+
+def pinned_sample(rows: DataFrame, keys: Sequence[str], k: int, pinned: Column, score: Column, uniform: Column, id_col: str) -> DataFrame:
+    """k rows per key: one of the pinned rows first, then a weighted draw without replacement, then a top-up from the rest.
+
+    The draw holds the other pins with weight 8 and the rows of a positive score with their score; rows without a score fill what
+    is left. `uniform` in (0, 1) decides all three. Adds `place` from 1.
+    """
+    drawn = pinned | (score > 0)
+    weight = F.when(pinned, PIN_WEIGHT).otherwise(score.cast("double"))
+    r = rows.withColumn("_pin", pinned).withColumn("_u", uniform).withColumn("_key", F.when(drawn, -F.log(uniform) / weight).otherwise(uniform))
+    r = r.withColumn("_tier", F.when(drawn, 1).otherwise(2))
+    first = r.where("_pin").groupBy(*keys).agg(F.min(F.struct("_u", id_col)).alias("_first"))
+    r = r.join(first, list(keys), "left")
+    anchor = F.col("_pin") & (F.col(id_col) == F.col(f"_first.{id_col}"))
+    w = Window.partitionBy(*keys).orderBy(F.when(anchor, 0).otherwise(F.col("_tier")), "_key", id_col)
+    return r.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("_pin", "_u", "_key", "_tier", "_first")
+
+
 def seeded_uniform(seed: int, *cols: str) -> Column:
     """Uniform number in (0, 1) from a hash of the seed and columns."""
     h = F.xxhash64(F.lit(seed), *cols)

@@ -346,6 +346,26 @@ def _(spark, d):
     return C.identity_violations(rows, "id", ZERO, FALSY)
 
 
+@query(
+    "pr16_self_comparison",
+    V.with_views(V.TRACE, body="SELECT DISTINCT case_id * 100 + stroke AS case_id, CAST(0 AS BIGINT) AS violations FROM trace"),
+)
+def _(spark, d):
+    """Every week against itself: alignment, both chamfer halves, matches and position errors have to be exactly zero."""
+    from traceframe.operators import compare as Cm
+    from traceframe.operators import matching as M
+    from traceframe.session import checkpointed
+
+    t = V.traces(spark, d).select((F.col("case_id") * 100 + F.col("stroke")).alias("case_id"), F.col("pos").cast("bigint").alias("i"), "x", "y")
+    t = checkpointed(t)
+    ref, cand = t.withColumnRenamed("i", "ref"), t.withColumnRenamed("i", "cand")
+    counts = M.match_counts(ref, cand, checkpointed(M.greedy_one_to_one(ref, cand, ["case_id"], 0.1)), ["case_id"])
+    rows = Cm.dtw(t, t, ["case_id"]).join(Cm.chamfer(t, t, ["case_id"], 0.25), "case_id").join(counts.drop("ambiguous"), "case_id")
+    rows = rows.withColumn("status", F.lit("ok"))
+    bad = C.identity_violations(rows, "case_id", ["dtw", "a_to_b", "b_to_a", "median_error", "missing", "spurious"], ["reversed_better"])
+    return rows.select("case_id").join(bad, "case_id", "left").groupBy("case_id").agg(F.count("problem").alias("violations"))
+
+
 @query(
     "pr17_row_reshaping",
     """SELECT o_orderkey AS uid, o_orderstatus AS glyph, CASE WHEN o_orderkey % 3 = 0 THEN 'none' ELSE o_orderpriority END AS note, '{}' AS meta FROM orders""",

@@ -602,6 +602,28 @@ def _(spark, d):
     return R.content_dedupe(docs, ["text", "lang"], "doc_id").drop("digest")
 
 
+@query(
+    "so03_covered_keys",
+    """SELECT min(doc_id) OVER (PARTITION BY sha256(text), lang) AS kept, doc_id AS covered FROM documents""",
+)
+def _(spark, d):
+    return R.covered_keys(V.table(spark, d, "documents"), ["text", "lang"], "doc_id")
+
+
+@query(
+    "so04_merged_boxes",
+    """WITH b AS (SELECT l_suppkey AS source, l_partkey % 50 AS key, l_linenumber % 3 AS priority, l_orderkey * 10 + l_linenumber AS id, l_quantity AS x0, l_returnflag = 'R' AND l_linestatus = 'F' AS locked FROM lineitem)
+SELECT source, key, m.id AS id, m.x0 AS x0, locked FROM (SELECT source, key, min({'priority': priority, 'id': id, 'x0': x0}) AS m, bool_or(locked) AS locked FROM b GROUP BY 1, 2)""",
+)
+def _(spark, d):
+    li = V.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 50).alias("key"), (F.col("l_linenumber") % 3).alias("priority"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("x0"),
+        ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("locked"),
+    )
+    return R.merged_boxes(li, ["source", "key"], ["priority", "id", "x0"], "locked").drop("priority")
+
+
 @query(
     "so04_sibling_collapse",
     """WITH s AS (SELECT p_brand || '/' || p_type AS key, p_size % 3 AS priority, p_size % 10 AS content, p_partkey AS variant FROM part),

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from traceframe.functions.stats import r
 from traceframe.plans import views as V
 from traceframe.plans.registry import query
+from traceframe.session import checkpointed
 from traceframe.sources import readers as Rd
 from traceframe.sources import writers as Wr
+from traceframe.streaming.jobs import work_folder
 
 
 @query(
@@ -182,6 +184,50 @@ def _(spark, d):
     return Wr.union_of_columns(a, b)
 
 
+@query(
+    "sk01_written_and_read",
+    """SELECT 'csv' AS form, 'bench' AS source, id, CAST(NULL AS VARCHAR) AS note FROM (SELECT l_partkey AS id FROM lineitem) UNION ALL SELECT 'csv', 'order', o_orderkey, o_orderpriority FROM orders
+UNION ALL SELECT 'json', 'bench', l_partkey, NULL FROM lineitem UNION ALL SELECT 'json', 'order', o_orderkey, o_orderpriority FROM orders""",
+)
+def _(spark, d):
+    a = V.table(spark, d, "lineitem").select(F.lit("bench").alias("source"), F.col("l_partkey").alias("id"))
+    b = V.table(spark, d, "orders").select(F.lit("order").alias("source"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("note"))
+    rows, folder = Wr.union_of_columns(a, b), work_folder(spark)
+    Wr.write_csv(rows, f"{folder}/rows.csv")
+    Wr.write_json(rows, f"{folder}/rows.json")
+    csv = spark.read.schema(rows.schema).option("header", True).csv(f"{folder}/rows.csv")
+    json = spark.read.schema(rows.schema).json(f"{folder}/rows.json")
+    return csv.select(F.lit("csv").alias("form"), "*").unionByName(json.select(F.lit("json").alias("form"), "*"))
+
+
+@query(
+    "sk02_filed_snapshots",
+    """SELECT 's2' AS stamp, 'orders' AS "table", count(*) AS rows, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS before, true AS refused_twice, true AS refused_smaller FROM orders
+UNION ALL SELECT 's2', 'customer', count(*), count(*), true, true FROM customer UNION ALL SELECT 's2', 'lineitem', count(*), count(*), true, true FROM lineitem""",
+)
+def _(spark, d):
+    """Two snapshots of growing tables; the second stamp again and a shrunken state are refused."""
+    root = work_folder(spark)
+    now = {n: V.table(spark, d, n) for n in ("orders", "customer", "lineitem")}
+    earlier = now | {"orders": now["orders"].where("o_orderstatus <> 'P'")}
+    primary = ["orders", "lineitem"]
+
+    def refused(tables: dict, stamp: str, kind: type) -> bool:
+        try:
+            Wr.export_snapshot(spark, tables, root, stamp, primary)
+        except kind:
+            return True
+        return False
+
+    Wr.export_snapshot(spark, earlier, root, "s1", primary)
+    Wr.export_snapshot(spark, now, root, "s2", primary)
+    twice = refused(now, "s2", FileExistsError)
+    smaller = refused(now | {"orders": now["orders"].where("false")}, "s3", ValueError)
+    first = spark.read.schema("table STRING, rows BIGINT, stamp STRING").parquet(f"{root}/manifest").where("stamp = 's1'")
+    last = Wr.latest_manifest(spark, root).join(first.select("table", F.col("rows").alias("before")), "table")
+    return last.select(F.lit("s2").alias("stamp"), "table", "rows", "before", F.lit(twice).alias("refused_twice"), F.lit(smaller).alias("refused_smaller"))
+
+
 @query(
     "sk02_plausibility",
     """SELECT 'events_with_raw' AS "table", 'no_raw_paths' AS problem UNION ALL SELECT 'nation', 'shrank' UNION ALL SELECT 'ghosts', 'empty'""",
@@ -302,6 +348,17 @@ def _(spark, d):
     return kept.select("o_orderkey")
 
 
+@query(
+    "sk06_deleted_rows",
+    """SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 7 = 1) AS deleted FROM orders WHERE NOT (o_orderstatus = 'F' AND o_custkey % 7 = 1)""",
+)
+def _(spark, d):
+    path = f"{work_folder(spark)}/orders"
+    V.table(spark, d, "orders").write.parquet(path)
+    n = Wr.delete_rows(spark, path, (F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 7 == 1))
+    return spark.read.parquet(path).select("o_orderkey", F.lit(n).cast("bigint").alias("deleted"))
+
+
 @query(
     "sk07_rebuild_per_owner",
     """WITH st AS (SELECT o_custkey % 20 AS owner, o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 1, 2),
@@ -321,6 +378,62 @@ def _(spark, d):
     return Wr.restored_columns(o, ["o_orderkey", "o_custkey", "o_totalprice", "origin", "new_column"], ["o_orderkey"], {"origin": F.lit("restored")})
 
 
+@query(
+    "sk08_restored_tables",
+    """WITH c AS (SELECT c_custkey AS old, (SELECT max(c_custkey) FROM customer WHERE c_custkey % 2 = 0) + row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_custkey % 2 = 1),
+o AS (SELECT o_orderkey AS old, o_custkey, (SELECT max(o_orderkey) FROM orders WHERE o_custkey % 2 = 0) + row_number() OVER (ORDER BY o_orderkey) AS k FROM orders WHERE o_custkey % 2 = 1)
+SELECT 'customer' AS "table", k AS key, CAST(NULL AS BIGINT) AS parent, 1 AS n FROM c UNION ALL SELECT 'orders', o.k, c.k, 1 FROM o JOIN c ON c.old = o.o_custkey
+UNION ALL SELECT 'lineitem', NULL, o.k, count(*) FROM lineitem JOIN o ON o.old = l_orderkey GROUP BY o.k
+UNION ALL SELECT 'customer', c_custkey, NULL, 1 FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'orders', o_orderkey, o_custkey, 1 FROM orders WHERE o_custkey % 2 = 0
+UNION ALL SELECT 'lineitem', NULL, l_orderkey, count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 2 = 0 GROUP BY l_orderkey""",
+)
+def _(spark, d):
+    """Customers with odd keys, their orders and lines are filed, then restored beside the others: keys made anew, no reference lost."""
+    c = V.table(spark, d, "customer").select("c_custkey", "c_name")
+    o = V.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    li = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    odd = {"customer": c.where("c_custkey % 2 = 1"), "orders": o.where("o_custkey % 2 = 1"), "lineitem": li.where("o_custkey % 2 = 1").drop("o_custkey")}
+    even = {"customer": c.where("c_custkey % 2 = 0"), "orders": o.where("o_custkey % 2 = 0"), "lineitem": li.where("o_custkey % 2 = 0").drop("o_custkey")}
+    root = work_folder(spark)
+    Wr.export_snapshot(spark, odd, root, "s1", ["customer", "orders"])
+    filed = {n: spark.read.parquet(f"{root}/snapshots/stamp=s1/{n}") for n in odd}
+    keys, links = {"customer": "c_custkey", "orders": "o_orderkey"}, {"orders": {"o_custkey": "customer"}, "lineitem": {"l_orderkey": "orders"}}
+    for name, df in Wr.with_new_keys(filed, even, keys, links).items():
+        even[name].select(df.columns).unionByName(df).write.parquet(f"{root}/store/{name}")
+    back = {n: spark.read.parquet(f"{root}/store/{n}") for n in odd}
+    none, one = F.lit(None).cast("bigint"), F.lit(1).cast("bigint")
+    lines = back["lineitem"].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        back["customer"].select(F.lit("customer").alias("table"), F.col("c_custkey").alias("key"), none.alias("parent"), one.alias("n"))
+        .unionAll(back["orders"].select(F.lit("orders"), "o_orderkey", "o_custkey", one))
+        .unionAll(lines.select(F.lit("lineitem"), none, "l_orderkey", "n"))
+    )
+
+
+@query(
+    "sk09_filed_runs",
+    """SELECT 'all-' || lower(coalesce(nullif(regexp_replace(l_returnflag, '[^A-Za-z]', '', 'g'), ''), 'x')) AS label, count(*) AS artifacts, true AS refused_twice FROM (SELECT DISTINCT l_returnflag, l_suppkey FROM lineitem) GROUP BY 1""",
+)
+def _(spark, d):
+    """One run for each return flag, its suppliers' line counts as artifacts; every run is filed once and refused after that."""
+    root = work_folder(spark)
+    li = V.table(spark, d, "lineitem")
+    art = li.groupBy("l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).cast("string").alias("body"))
+    art = checkpointed(art.withColumn("name", F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string"), F.lit(".txt"))))
+    twice = True
+    for flag in ("A", "N", "R"):
+        mine = art.where(F.col("l_returnflag") == flag).select("name", "body")
+        Wr.append_run(spark, root, mine, "20240101", f"All / {flag}")
+        try:
+            Wr.append_run(spark, root, mine, "20240101", f"all {flag}!")
+            twice = False
+        except FileExistsError:
+            pass
+    index = spark.read.parquet(f"{root}/index")
+    runs = spark.read.parquet(f"{root}/runs").groupBy("label").agg(F.count(F.lit(1)).alias("artifacts"))
+    return runs.join(index.select("label"), "label").withColumn("refused_twice", F.lit(twice))
+
+
 @query(
     "sk09_log_slug",
     """SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS label FROM pages""",
@@ -329,6 +442,18 @@ def _(spark, d):
     return V.table(spark, d, "pages").select("page_id", Wr.slug(F.col("url")).alias("label"))
 
 
+@query("sk10_reseeded_table", "SELECT o_orderkey, o_orderpriority FROM orders")
+def _(spark, d):
+    """A table of finished orders is replaced by the whole content of a file; a second reseed changes nothing."""
+    root = work_folder(spark)
+    o = V.table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    Wr.write_json(o, f"{root}/seed.json")
+    V.table(spark, d, "orders").where("o_orderstatus = 'F'").select(o.columns).write.parquet(f"{root}/table")
+    for _ in range(2):
+        Wr.reseed(spark.read.schema(o.schema).json(f"{root}/seed.json"), f"{root}/table")
+    return spark.read.parquet(f"{root}/table")
+
+
 @query("sk10_full_reseed", "SELECT n_nationkey, n_name FROM nation")
 def _(spark, d):
     return V.table(spark, d, "nation").select("n_nationkey", "n_name")

@@ -217,6 +217,20 @@ def _(spark, d):
     return Wd.weighted_sample(o, ["o_custkey"], 3, weight, u, "o_orderkey").select("o_custkey", "o_orderkey", "place")
 
 
+@query(
+    "tk04_pinned_sample",
+    """WITH w AS (SELECT o_custkey, o_orderkey, o_orderpriority = '1-URGENT' AS pin, o_orderkey % 4 - 1 AS score, ((o_orderkey * 2654435761) % 4294967296 + 0.5::DOUBLE) / 4294967296 AS u FROM orders),
+a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, pin ORDER BY u, o_orderkey) = 1 AND pin AS anchor FROM w)
+SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN anchor THEN 0 WHEN pin OR score > 0 THEN 1 ELSE 2 END,
+  CASE WHEN pin THEN -ln(u) / 8 WHEN score > 0 THEN -ln(u) / score ELSE u END, o_orderkey) AS INTEGER) AS place FROM a) WHERE place <= 4""",
+)
+def _(spark, d):
+    o = V.table(spark, d, "orders")
+    u = ((F.col("o_orderkey") * 2654435761) % 4294967296 + 0.5) / 4294967296
+    c = Wd.pinned_sample(o, ["o_custkey"], 4, F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey") % 4 - 1, u, "o_orderkey")
+    return c.select("o_custkey", "o_orderkey", "place")
+
+
 def _sessions(spark, d):
     e = V.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
     e = dense_position(e, ["user_id"], ["ts", "event_id"], V.hour_bucket("ts"))

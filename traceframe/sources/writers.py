@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceframe.functions.ordered import dense_position
+from traceframe.session import checkpointed
+
 # ----------------------------------------------------------------- pure updates
 
 
@@ -250,6 +253,29 @@ def restore_snapshot(
     return counts
 
 
+def with_new_keys(payload: dict[str, DataFrame], stores: dict[str, DataFrame], keys: dict[str, str], links: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
+    """Payload tables with their generated integer keys made anew behind those of the stores, and references carried along.
+
+    keys {table: key column}, in the order of references, parents first; links {table: {column: parent table}}. New keys follow
+    the order of the old ones, from the store's largest key on. A reference to a row that is not in the payload becomes null.
+    """
+    out: dict[str, DataFrame] = {}
+    maps: dict[str, DataFrame] = {}
+    for name, df in payload.items():
+        for column, parent in links.get(name, {}).items():
+            known = maps[parent].select(F.col("old").alias(column), F.col("new").alias("_new"))
+            df = df.join(known, column, "left").withColumn(column, F.col("_new")).drop("_new")
+        if name in keys:
+            key = keys[name]
+            last = stores[name].agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint").alias("_last"))  # one row
+            old = df.select(F.col(key).cast("bigint").alias("old")).where("old IS NOT NULL").distinct()
+            ranked = dense_position(old, [], ["old"], F.floor(F.col("old") / (1 << 16)), "_at", 1)
+            maps[name] = checkpointed(ranked.crossJoin(F.broadcast(last)).select("old", (F.col("_at") + F.col("_last")).alias("new")))
+            df = df.join(maps[name].withColumnRenamed("old", key), key).withColumn(key, F.col("new")).drop("new")
+        out[name] = df
+    return out
+
+
 def append_run(spark: SparkSession, root: str, artifacts: DataFrame, stamp: str, label: str) -> None:
     """File the artifacts of one run under (stamp, slugged label); empty or repeated names and existing runs are refused."""
     checked = artifacts.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("body")).alias("short"))
@@ -267,6 +293,15 @@ def append_run(spark: SparkSession, root: str, artifacts: DataFrame, stamp: str,
     key.withColumn("artifacts", F.lit(flaws["names"])).write.mode("append").parquet(index)
 
 
+def delete_rows(spark: SparkSession, path: str, predicate: Column) -> int:
+    """Delete the matching rows of a table and say how many went."""
+    kept, deleted = without_matching(spark.read.parquet(path), predicate)
+    n = deleted.first()["deleted"]
+    if n:
+        swap_in(kept, path)
+    return n
+
+
 def reseed(df: DataFrame, path: str) -> None:
     """Replace a table by a full new content."""
     swap_in(df, path)
