@@ -195,16 +195,29 @@ def test_pipeline_stages(spark):
     tiny = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     columns, ids = docs.columns, {r["doc_id"] for r in docs.collect()}
+    size = None
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.stored(stage(spark, docs, tiny))
         assert docs.columns == columns, name
-        left = {r["doc_id"] for r in docs.collect()}
-        assert left < ids, name
+        rows = docs.collect()
+        left, was, size = {r["doc_id"] for r in rows}, size, sum(len(r["text"] or "") for r in rows)
+        if name == "substring_dedup":  # cuts texts; a document goes only if nothing is left
+            assert left <= ids and size < was and all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] is not None)
+        else:
+            assert left < ids, name
         ids = left
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, tiny)
     assert {r["doc_id"] for r in packed.collect()} == ids
 
 
+def test_wholly_repeated_document_goes(spark):
+    lines = ["one two three four five six seven eight nine", "ten eleven twelve thirteen fourteen fifteen sixteen seventeen"]
+    rows = [(1, "\n".join(lines), 99), (2, lines[1], 99), (3, "own words\n" + lines[0], 99), (4, None, None), (5, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_units(spark, docs, SMALL).collect()}
+    assert got == {1: (rows[0][1], 99), 3: ("own words\n", 10), 4: (None, None), 5: ("", 0)}
+
+
 def test_pipeline_on_no_documents(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SMALL}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
