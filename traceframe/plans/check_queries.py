@@ -250,14 +250,14 @@ def _(spark, d):
 
 
 def _payload(spark, d, flag):
-    li = V.table(spark, d, "lineitem").where(F.col("l_returnflag") == flag)
+    li = V.table(spark, d, "lineitem").where(V.pair_side() == flag)
     return li.groupBy(
         F.col("l_suppkey").alias("key"), F.col("l_linestatus").alias("item"), F.col("l_linenumber").alias("i")
     ).agg((F.sum(F.round(F.col("l_tax") * 100).cast("bigint")) / F.count(F.lit(1))).alias("v"))
 
 
-PAYLOAD = """
-pay AS (SELECT l_returnflag AS side, l_suppkey AS key, l_linestatus AS item, l_linenumber AS i, sum(CAST(round(l_tax * 100) AS BIGINT)) / count(*) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
+PAYLOAD = f"""
+pay AS (SELECT {V.PAIR_SIDE} AS side, l_suppkey AS key, l_linestatus AS item, l_linenumber AS i, sum(CAST(round(l_tax * 100) AS BIGINT)) / count(*) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
 pj AS (SELECT key, item, i, a.v AS a, b.v AS b FROM (SELECT * FROM pay WHERE side = 'A') a FULL OUTER JOIN (SELECT * FROM pay WHERE side = 'R') b USING (key, item, i))"""
 
 
@@ -336,13 +336,13 @@ ZERO, FALSY = ["delta"], ["marks_ambiguous", "lift_delta"]
     "pr16_identity_gate",
     V.with_views(
         V.RUNS,
-        body="""SELECT id, 'status ' || status AS problem, CAST(NULL AS DOUBLE) AS value FROM runs WHERE side = 'A' AND status <> 'ok'
-UNION ALL SELECT id, 'marks_ambiguous', CAST(marks_ambiguous AS DOUBLE) FROM runs WHERE side = 'A' AND status = 'ok' AND marks_ambiguous <> 0
-UNION ALL SELECT id, 'lift_delta', CAST(lift_delta AS DOUBLE) FROM runs WHERE side = 'A' AND status = 'ok' AND lift_delta <> 0""",
+        body="""SELECT id, 'status ' || status AS problem, CAST(NULL AS DOUBLE) AS value FROM runs WHERE status <> 'ok'
+UNION ALL SELECT id, 'marks_ambiguous', CAST(marks_ambiguous AS DOUBLE) FROM runs WHERE status = 'ok' AND marks_ambiguous <> 0
+UNION ALL SELECT id, 'lift_delta', CAST(lift_delta AS DOUBLE) FROM runs WHERE status = 'ok' AND lift_delta <> 0""",
     ),
 )
 def _(spark, d):
-    rows = V.run_rows(spark, d, "A").withColumn("delta", F.col("dtw_xh") - F.col("dtw_xh"))
+    rows = V.run_rows(spark, d).withColumn("delta", F.col("dtw_xh") - F.col("dtw_xh"))
     return C.identity_violations(rows, "id", ZERO, FALSY)
 
 

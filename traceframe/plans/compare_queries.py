@@ -280,7 +280,7 @@ def _(spark, d):
 
 
 COMPONENTS = V.PIXELS + """,
-ip AS (SELECT mask_id, x, y, x * 64 + y AS k, grey FROM px WHERE side = 'A'),
+ip AS (SELECT mask_id, x, y, x * 64 + y AS k, grey FROM ik),
 ie AS (SELECT a.mask_id, a.k AS p, b.k AS q FROM ip a JOIN ip b ON a.mask_id = b.mask_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1)"""
 REACH = """
 reach(mask_id, k, c) AS (SELECT mask_id, k, k FROM ip UNION SELECT r.mask_id, e.q, r.c FROM reach r JOIN ie e ON e.mask_id = r.mask_id AND e.p = r.k),
@@ -288,7 +288,7 @@ comp AS (SELECT mask_id, k, min(c) AS c FROM reach GROUP BY 1, 2)"""
 
 
 def _labelled(spark, d):
-    return checkpointed(M.pixel_components(V.pixels(spark, d).where("side = 'A'"), ["mask_id"]))
+    return checkpointed(M.pixel_components(V.inks(spark, d), ["mask_id"]))
 
 
 @query(
@@ -329,16 +329,19 @@ def _(spark, d):
     V.with_views(
         COMPONENTS,
         REACH,
-        """m AS (SELECT mask_id, c, median(grey) AS grey, count(*) AS area FROM comp JOIN ip USING (mask_id, k) GROUP BY 1, 2),
+        """m AS (SELECT mask_id, c, median(round(grey * 50)) AS grey, count(*) AS area FROM comp JOIN ip USING (mask_id, k) GROUP BY 1, 2),
 ink AS (SELECT mask_id, grey AS ink FROM (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY area DESC, c DESC) AS rn FROM m) WHERE rn = 1),
-pp AS (SELECT mask_id, median(grey) AS paper FROM px WHERE side = 'R' GROUP BY 1)""",
-        body="SELECT mask_id, count(*) AS n, count(*) FILTER (paper - ink >= 0.05 AND (grey - ink) / (paper - ink) > 0.5) AS dropped, round(sum(CASE WHEN paper - ink >= 0.05 THEN (grey - ink) / (paper - ink) END), 4) AS rel_sum FROM m JOIN ink USING (mask_id) JOIN pp USING (mask_id) GROUP BY 1",
+pp AS (SELECT mask_id + 1 - 2 * (mask_id % 2) AS mask_id, median(round(grey * 50)) AS paper FROM ik GROUP BY 1)""",
+        body="SELECT mask_id, count(*) AS n, count(*) FILTER (paper - ink >= 2.5 AND (grey - ink) / (paper - ink) > 0.5) AS dropped, round(sum(CASE WHEN paper - ink >= 2.5 THEN (grey - ink) / (paper - ink) END), 4) AS rel_sum FROM m JOIN ink USING (mask_id) JOIN pp USING (mask_id) GROUP BY 1",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def _(spark, d):
-    lab = _labelled(spark, d).join(V.pixels(spark, d).where("side = 'A'").select("mask_id", "x", "y", "grey"), ["mask_id", "x", "y"])
-    paper = exact_quantiles(V.pixels(spark, d).where("side = 'R'"), ["mask_id"], "grey", {"paper": 0.5})
-    c = M.darkness_classes(lab, ["mask_id"], paper)
+    """Greys are whole numbers here, so that a share of exactly one half is one."""
+    whole = V.inks(spark, d).withColumn("grey", F.round(F.col("grey") * 50))
+    lab = _labelled(spark, d).join(whole, ["mask_id", "x", "y"])
+    other = F.col("mask_id") + 1 - 2 * (F.col("mask_id") % 2)  # the other side of a mask is its paper
+    paper = exact_quantiles(whole.withColumn("mask_id", other), ["mask_id"], "grey", {"paper": 0.5})
+    c = M.darkness_classes(lab, ["mask_id"], paper, min_contrast=2.5)
     return c.groupBy("mask_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("dropped").alias("dropped"), r(F.sum("rel"), 4).alias("rel_sum"))
 
 

@@ -229,15 +229,15 @@ def _(spark, d):
 
 def _row_density(spark, d):
     """Ink count of every row of a mask, empty rows included."""
-    px = V.pixels(spark, d).where("side = 'A'")
+    px = V.inks(spark, d)
     rows = px.select("mask_id").distinct().select("mask_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("y"))
     n = px.groupBy("mask_id", "y").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(n, ["mask_id", "y"], "left").select("mask_id", "y", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 DENS = V.PIXELS + """,
-dn AS (SELECT m.mask_id, m.y, coalesce(n, 0) AS n FROM (SELECT mask_id, y FROM (SELECT DISTINCT mask_id FROM px WHERE side = 'A'), (SELECT unnest(range(64))::INTEGER AS y)) m
-  LEFT JOIN (SELECT mask_id, y, count(*) AS n FROM px WHERE side = 'A' GROUP BY 1, 2) USING (mask_id, y))"""
+dn AS (SELECT m.mask_id, m.y, coalesce(n, 0) AS n FROM (SELECT mask_id, y FROM (SELECT DISTINCT mask_id FROM ik), (SELECT unnest(range(64))::INTEGER AS y)) m
+  LEFT JOIN (SELECT mask_id, y, count(*) AS n FROM ik GROUP BY 1, 2) USING (mask_id, y))"""
 
 
 @query(
@@ -530,22 +530,22 @@ def _(spark, d):
     "sm12_slant",
     V.with_views(
         V.PIXELS,
-        """p AS (SELECT mask_id, x, y FROM px WHERE side = 'A'), big AS (SELECT mask_id FROM p GROUP BY 1 HAVING count(*) >= 32),
+        """p AS (SELECT mask_id, x, y FROM ik), big AS (SELECT mask_id FROM p GROUP BY 1 HAVING count(*) >= 32),
 c AS (SELECT mask_id, i, CAST(round_even(x + y * tan(radians(i * 0.25::DOUBLE - 30)), 0) AS BIGINT) AS col, count(*) AS k FROM p JOIN big USING (mask_id), (SELECT unnest(range(0, 241)) AS i) GROUP BY 1, 2, 3),
 s AS (SELECT mask_id, i, CAST(sum(k * k) AS BIGINT) AS score FROM c GROUP BY 1, 2)""",
         body="SELECT mask_id, 90 - (i * 0.25::DOUBLE - 30) AS slant_deg, score FROM (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY score DESC, i) AS rn FROM s) WHERE rn = 1",
     ),
 )
 def _(spark, d):
-    return G.slant(V.pixels(spark, d).where("side = 'A'"), ["mask_id"])
+    return G.slant(V.inks(spark, d), ["mask_id"])
 
 
 @query(
     "ag47_bounding_window",
     V.with_views(
         V.PIXELS,
-        body="SELECT mask_id, greatest(0, min(x) - 6) AS x0, least(64, max(x) + 6) AS x1, greatest(0, min(y) - 6) AS y0, least(64, max(y) + 6) AS y1 FROM px WHERE side = 'A' GROUP BY 1",
+        body="SELECT mask_id, greatest(0, min(x) - 6) AS x0, least(64, max(x) + 6) AS x1, greatest(0, min(y) - 6) AS y0, least(64, max(y) + 6) AS y1 FROM ik GROUP BY 1",
     ),
 )
 def _(spark, d):
-    return G.bounding_window(V.pixels(spark, d).where("side = 'A'"), ["mask_id"], F.lit(10.0), 0.5, F.lit(64), F.lit(64))
+    return G.bounding_window(V.inks(spark, d), ["mask_id"], F.lit(10.0), 0.5, F.lit(64), F.lit(64))

@@ -146,7 +146,7 @@ KERNEL = Rd.gaussian_kernel((Rd.BLOCK - 1) / 6.0)
 
 def grey_grid(spark, d):
     """Every mask as a dense 64 x 64 grid: ink pixels keep their grey, the rest is paper."""
-    px = V.pixels(spark, d).where("side = 'A'").select("mask_id", "x", "y", "grey")
+    px = V.inks(spark, d)
     cells = px.select("mask_id").distinct().select("mask_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x"))
     cells = cells.select("mask_id", "x", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("y"))
     grid = cells.join(px, ["mask_id", "x", "y"], "left")
@@ -157,8 +157,8 @@ def grey_grid(spark, d):
     "sc07_adaptive_threshold",
     V.with_views(
         V.PIXELS,
-        """g AS (SELECT c.mask_id, c.x, c.y, coalesce(grey, 1.0::DOUBLE) AS grey FROM (SELECT mask_id, x, y FROM (SELECT DISTINCT mask_id FROM px WHERE side = 'A'), (SELECT unnest(range(64))::INTEGER AS x), (SELECT unnest(range(64))::INTEGER AS y)) c
-  LEFT JOIN (SELECT * FROM px WHERE side = 'A') p USING (mask_id, x, y)),
+        """g AS (SELECT c.mask_id, c.x, c.y, coalesce(grey, 1.0::DOUBLE) AS grey FROM (SELECT mask_id, x, y FROM (SELECT DISTINCT mask_id FROM ik), (SELECT unnest(range(64))::INTEGER AS x), (SELECT unnest(range(64))::INTEGER AS y)) c
+  LEFT JOIN ik p USING (mask_id, x, y)),
 k AS (SELECT unnest(range(-33, 34)) AS o, unnest([""" + ", ".join(f"{w!r}::DOUBLE" for w in KERNEL) + """]) AS w),
 src AS (SELECT t, CASE WHEN t + o < 0 THEN -1 - t - o WHEN t + o > 63 THEN 127 - t - o ELSE t + o END AS s, sum(w) AS w FROM (SELECT unnest(range(64)) AS t), k GROUP BY 1, 2),
 h AS (SELECT mask_id, y, t AS x, sum(w * grey) AS v FROM g JOIN src ON src.s = g.x GROUP BY 1, 2, 3),
@@ -176,10 +176,10 @@ def _(spark, d):
 
 @query(
     "sk01_union_of_columns",
-    """SELECT 'bench' AS source, id, CAST(NULL AS VARCHAR) AS note FROM (SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'A') UNION ALL SELECT 'order', o_orderkey, o_orderpriority FROM orders""",
+    """SELECT 'bench' AS source, id, CAST(NULL AS VARCHAR) AS note FROM (SELECT l_partkey AS id FROM lineitem) UNION ALL SELECT 'order', o_orderkey, o_orderpriority FROM orders""",
 )
 def _(spark, d):
-    a = V.table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.lit("bench").alias("source"), F.col("l_partkey").alias("id"))
+    a = V.table(spark, d, "lineitem").select(F.lit("bench").alias("source"), F.col("l_partkey").alias("id"))
     b = V.table(spark, d, "orders").select(F.lit("order").alias("source"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("note"))
     return Wr.union_of_columns(a, b)
 
@@ -295,7 +295,7 @@ def _provenance_batch(spark, d):
     stored = o.where("o_orderstatus <> 'O'").select(
         (F.col("o_custkey") % 10).alias("owner"), F.col("o_orderkey").alias("id"), prov.alias("provenance"), F.lit("old").alias("body")
     )
-    li = V.table(spark, d, "lineitem").where("l_linestatus = 'F'")
+    li = V.table(spark, d, "lineitem")
     lines = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("s"))
     batch = lines.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         (F.col("o_custkey") % 10).alias("owner"),
@@ -310,7 +310,7 @@ def _provenance_batch(spark, d):
 PROVENANCE = """
 stored AS (SELECT o_custkey % 10 AS owner, o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'authored' ELSE 'traced' END AS provenance, 'old' AS body FROM orders WHERE o_orderstatus <> 'O'),
 batch AS (SELECT o_custkey % 10 AS owner, l_orderkey AS id, CASE WHEN s % 5 = 0 THEN 'authored' ELSE 'traced' END AS provenance, 'b' || l_linenumber AS body, l_linenumber AS seq
-  FROM (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS s FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2) JOIN orders ON o_orderkey = l_orderkey),
+  FROM (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS s FROM lineitem GROUP BY 1, 2) JOIN orders ON o_orderkey = l_orderkey),
 fa AS (SELECT owner, id, min(seq) AS f FROM batch WHERE provenance = 'authored' GROUP BY 1, 2),
 bb AS (SELECT b.*, b.provenance = 'traced' AND (s.id IS NOT NULL OR coalesce(b.seq > f, false)) AS skip FROM batch b LEFT JOIN fa USING (owner, id)
   LEFT JOIN (SELECT owner, id FROM stored WHERE provenance = 'authored') s USING (owner, id)),

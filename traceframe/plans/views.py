@@ -159,11 +159,20 @@ trace AS (SELECT user_id AS case_id, CAST(floor(date_diff('day', DATE '2024-01-0
 # ----------------------------------------------------------------------- runs
 
 
+def pair_side() -> Column:
+    """Two sides from three return flags: lines without one are dealt to both by their number."""
+    flag = F.col("l_returnflag")
+    return F.when(flag.isin("A", "R"), flag).when(F.col("l_linenumber") % 2 == 1, "A").otherwise("R")
+
+
+PAIR_SIDE = "CASE WHEN l_returnflag IN ('A', 'R') THEN l_returnflag WHEN l_linenumber % 2 = 1 THEN 'A' ELSE 'R' END"
+
+
 def run_rows(spark: SparkSession, directory: str, flag: str | None = None) -> DataFrame:
-    """Bench rows per case (part) and side (return flag): measures, counters and a status."""
+    """Bench rows per case (part) and side: measures, counters and a status."""
     li = table(spark, directory, "lineitem")
     if flag is not None:
-        li = li.where(F.col("l_returnflag") == flag)
+        li = li.where(pair_side() == flag)
 
     def cents(c: str) -> Column:
         return F.sum(F.round(F.col(c) * 100).cast("bigint"))
@@ -171,7 +180,7 @@ def run_rows(spark: SparkSession, directory: str, flag: str | None = None) -> Da
     def times(k: int) -> Column:
         return F.count_if(F.col("l_linenumber") == k)
 
-    g = li.groupBy(F.col("l_returnflag").alias("side"), F.col("l_partkey").alias("id")).agg(
+    g = li.groupBy(pair_side().alias("side"), F.col("l_partkey").alias("id")).agg(
         F.count(F.lit(1)).alias("n"),
         cents("l_extendedprice").alias("price"),
         cents("l_discount").alias("disc"),
@@ -212,8 +221,8 @@ COUNTERS = [
 ]
 
 RUNS = (
-    """
-run_g AS (SELECT l_returnflag AS side, l_partkey AS id, count(*) AS n,
+    f"""
+run_g AS (SELECT {PAIR_SIDE} AS side, l_partkey AS id, count(*) AS n,
   CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS price,
   CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS disc,
   CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS tax,
@@ -421,19 +430,24 @@ shown AS (SELECT v.*, list_filter(codes, lambda c: c IN ('A', 'W', 'B', 'E')) AS
 
 def pixels(spark: SparkSession, directory: str) -> DataFrame:
     """Distinct pixels per mask (supplier) and side (A = ink, R = candidate) with a mean grey value."""
-    li = table(spark, directory, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
-    return li.groupBy(
+    return table(spark, directory, "lineitem").groupBy(
         F.col("l_suppkey").alias("mask_id"),
-        F.col("l_returnflag").alias("side"),
+        pair_side().alias("side"),
         (F.col("l_partkey") % 64).cast("int").alias("x"),
         (F.col("l_orderkey") % 64).cast("int").alias("y"),
     ).agg((F.min("l_quantity") / 50).alias("grey"))
 
 
-PIXELS = """
-px AS (SELECT l_suppkey AS mask_id, l_returnflag AS side, CAST(l_partkey % 64 AS INTEGER) AS x,
+def inks(spark: SparkSession, directory: str) -> DataFrame:
+    """Both sides of every mask as masks of their own: 2 * mask, and one more for side R."""
+    return pixels(spark, directory).withColumn("mask_id", 2 * F.col("mask_id") + (F.col("side") == "R").cast("int")).drop("side")
+
+
+PIXELS = f"""
+px AS (SELECT l_suppkey AS mask_id, {PAIR_SIDE} AS side, CAST(l_partkey % 64 AS INTEGER) AS x,
   CAST(l_orderkey % 64 AS INTEGER) AS y, min(l_quantity) / 50 AS grey FROM lineitem
-  WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2, 3, 4)"""
+  GROUP BY 1, 2, 3, 4),
+ik AS (SELECT 2 * mask_id + CASE WHEN side = 'R' THEN 1 ELSE 0 END AS mask_id, x, y, grey FROM px)"""
 
 # ---------------------------------------------------------------------- words
 
