@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import SPACE, SPACE_CLASS, lower_ascii
+from traceframe.llm.common import SPACE, SPACE_CLASS
 
 # Frequent function words of the four languages; a running text of any of them holds several.
 STOP_WORDS = (
@@ -20,6 +20,19 @@ STOP_WORDS = (
 SYMBOLS = "#*$%&|<>"
 
 
+def _by_first_letter(words: Sequence[str]) -> str:
+    """Alternatives of a pattern, the words of a letter behind one choice."""
+    tails: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        tails.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{head}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for head, rest in tails.items())
+
+
+_WHITE = r"[\x20\x09-\x0D]"
+#: A stop word in any ASCII case between white space or the ends of the text.
+STOP_PATTERN = rf"(?i)(?:^|{_WHITE})(?:{_by_first_letter(STOP_WORDS)})(?={_WHITE}|\z)"
+
+
 @dataclass(frozen=True)
 class Threshold:
     """A text passes if low <= metric <= high; a null bound is open, a null metric passes."""
@@ -93,8 +106,6 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
     blank = SPACE
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     with_words = docs.withColumn("__w", words(F.col(text)))
-    stop = F.array(*[F.lit(s) for s in STOP_WORDS])
-    lowered = lower_ascii(t)
     counts = {
         "n_words": F.size(w),
         "word_chars": F.length(F.translate(t, blank, "")),
@@ -104,7 +115,7 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
         "n_repeat_words": repeated_words(w),
         "n_upper": F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
         "n_letter_words": F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))),
-        "n_stop_words": F.size(F.filter(F.split(lowered, SPACE_CLASS + "+"), lambda x: F.array_contains(stop, x))),
+        "n_stop_words": F.regexp_count(t, F.lit(STOP_PATTERN)),
         "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))),
     }
     return with_words.select(*docs.columns, *[c.cast("bigint").alias(prefix + n) for n, c in counts.items()])
