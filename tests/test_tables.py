@@ -255,3 +255,46 @@ def test_checkpoint_folder_is_required_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_restored_keys_are_new_and_linked(spark):
+    people = spark.createDataFrame([(7, "a"), (3, "b"), (9, "c")], "id BIGINT, name STRING")
+    letters = spark.createDataFrame([(1, 7), (2, 3), (5, 8), (6, None)], "no BIGINT, person BIGINT")
+    stores = {"people": spark.createDataFrame([(3, "x"), (20, "y")], "id BIGINT, name STRING"), "letters": letters.limit(0)}
+    out = Wr.with_new_keys({"people": people, "letters": letters}, stores, {"people": "id", "letters": "no"}, {"letters": {"person": "people"}})
+    assert rows(out["people"], "id", "name") == [(21, "b"), (22, "a"), (23, "c")]
+    got = {r["no"]: r["person"] for r in out["letters"].collect()}
+    assert got == {1: 22, 2: 21, 3: None, 4: None}  # a reference to a row that was not filed is null
+    empty = Wr.with_new_keys({"people": people.limit(0)}, stores, {"people": "id"}, {})
+    assert empty["people"].count() == 0
+
+
+def test_pins_come_first_and_the_rest_fills_up(spark):
+    from traceframe.operators.words import pinned_sample
+
+    data = [(g, i, i in pins, score) for g, pins, scores in ((1, (2, 4), (0, 5, 0, 1, 0)), (2, (), (0, 0, 3, 0, 0)), (3, (1,), (0, 0))) for i, score in enumerate(scores)]
+    df = spark.createDataFrame(data, "g INT, i INT, pin BOOLEAN, score INT")
+    u = (F.col("i") * 37 % 101 + 1) / 103
+    got = {}
+    for r in pinned_sample(df, ["g"], 3, F.col("pin"), F.col("score"), u, "i").collect():
+        got.setdefault(r["g"], {})[r["place"]] = r["i"]
+    assert got[1][1] == 4 and 2 in got[1].values()  # of the pins the smaller number, 4 * 37 % 101 = 47 and 74
+    assert got[2][1] == 2 and len(got[2]) == 3  # the only scored row, then a top-up
+    assert got[3] == {1: 1, 2: 0}  # fewer rows than places
+
+
+def test_deleted_rows_are_counted(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).write.parquet(path)
+    assert Wr.delete_rows(spark, path, F.col("id") >= 7) == 3
+    assert Wr.delete_rows(spark, path, F.col("id") >= 7) == 0
+    assert spark.read.parquet(path).count() == 7
+
+
+def test_boxes_keep_a_lock(spark):
+    from traceframe.operators.runs import covered_keys, merged_boxes
+
+    df = spark.createDataFrame([("a", 2, 5.0, True), ("a", 1, 6.0, False), ("b", 0, 7.0, None)], "key STRING, priority INT, x DOUBLE, locked BOOLEAN")
+    assert rows(merged_boxes(df, ["key"], ["priority"], "locked"), "key", "x", "locked") == [("a", 6.0, True), ("b", 7.0, False)]
+    same = spark.createDataFrame([(3, "t"), (1, "t"), (2, "u"), (4, None), (5, None)], "id INT, text STRING")
+    assert rows(covered_keys(same, ["text"], "id"), "kept", "covered") == [(1, 1), (1, 3), (2, 2), (4, 4), (4, 5)]
