@@ -156,14 +156,13 @@ def _(spark, d):
 
 
 def _connector_segments(spark, d):
-    """Three-point connectors of the transitions as two segments each."""
-    t = V.transitions(spark, d).where(F.size("connector") == 3)
-    c = F.col("connector")
+    """Connectors of the transitions as two segments each; a single point is two segments without length."""
+    t = V.transitions(spark, d)
+    point = lambda i: F.coalesce(F.get("connector", F.lit(i)), F.get("connector", F.lit(0)))
 
     def seg(i: int):
-        return F.struct(
-            F.lit(i).alias("pos"), c[i]["x"].alias("x0"), (c[i]["y"] / 100).alias("y0"), c[i + 1]["x"].alias("x1"), (c[i + 1]["y"] / 100).alias("y1")
-        )
+        a, b = point(i), point(i + 1)
+        return F.struct(F.lit(i).alias("pos"), a["x"].alias("x0"), (a["y"] / 100).alias("y0"), b["x"].alias("x1"), (b["y"] / 100).alias("y1"))
 
     s = t.select("seq", (F.col("offset.x") * 0.3).alias("a_max_x"), (F.col("offset.x") * 0.6).alias("b_min_x"), F.lit(2.0).alias("xh"), F.explode(F.array(seg(0), seg(1))).alias("s"))
     return s.select("seq", "a_max_x", "b_min_x", "xh", "s.*")
@@ -395,3 +394,44 @@ def _(spark, d):
 
     n, g = scan_table(spark, f"{d}/nation.parquet", "nation"), scan_table(spark, f"{d}/region.parquet", "region")
     return n.join(g, n.n_regionkey == g.r_regionkey).select("n_nationkey", "n_name", "r_name")
+
+
+@query(
+    "sc01_typed_scans",
+    V.with_views(
+        V.TRACE,
+        V.PIXELS,
+        body="""SELECT 'trace' AS "table", count(*) AS rows, round(sum(x + y), 4) AS total FROM trace UNION ALL SELECT 'pixels', count(*), round(sum(x + y + grey), 4) FROM px
+UNION ALL SELECT 'bboxes', count(*), round(sum(l_quantity + l_linenumber), 4) FROM lineitem UNION ALL SELECT 'work_items', count(*), round(sum(o_orderkey), 4) FROM orders
+UNION ALL SELECT 'templates', count(*), round(sum(p_size + p_size + 1), 4) FROM part UNION ALL SELECT 'quiz_words', count(*), round(sum(length(text)), 4) FROM documents""",
+    ),
+)
+def _(spark, d):
+    """Typed tables written in their own schemas and scanned with them; sums run over what was read."""
+    from traceframe.schemas import schema
+    from traceframe.sources.readers import scan_table
+    from traceframe.streaming.jobs import work_folder
+
+    folder = work_folder(spark)
+    li, p = V.table(spark, d, "lineitem"), F.col("p_size")
+    point = F.struct(p.cast("double").alias("x"), (p + 1).cast("double").alias("y"))
+    made = {
+        "trace": V.traces(spark, d).withColumn("side", F.lit("A")),
+        "pixels": V.pixels(spark, d),
+        "bboxes": li.select(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("glyph_key"), F.col("l_quantity").alias("x0"), F.col("l_linenumber").alias("y0"), (F.col("l_returnflag") == "R").alias("locked")),
+        "work_items": V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("closed_at")),
+        "templates": V.table(spark, d, "part").select(F.col("p_brand").alias("style_id"), F.col("p_partkey").alias("variant"), F.array(point).alias("anchors"), point.alias("entry")),
+        "quiz_words": V.table(spark, d, "documents").select(F.col("text").alias("word"), F.array("lang", "source").alias("distractors")),
+    }
+    sums = {
+        "trace": F.col("x") + F.col("y"), "pixels": F.col("x") + F.col("y") + F.col("grey"), "bboxes": F.col("x0") + F.col("y0"), "work_items": F.col("id"),
+        "templates": F.get("anchors", F.lit(0))["x"] + F.col("entry.y"), "quiz_words": F.length("word"),
+    }
+    out = None
+    for name, df in made.items():
+        typed = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)]
+        df.select(*typed).write.parquet(f"{folder}/{name}")
+        one = scan_table(spark, f"{folder}/{name}", name).agg(F.count(F.lit(1)).alias("rows"), r(F.sum(sums[name]).cast("double"), 4).alias("total"))
+        one = one.select(F.lit(name).alias("table"), "rows", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
