@@ -198,6 +198,20 @@ def fold(id_column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def _below_cut(keyed: DataFrame, sample: int) -> Column:
+    """Condition on `h` that leaves little more than the `sample` smallest hashes, from the counts of 65,536 ranges of hashes.
+
+    Without it every task would send its own `sample` rows to the driver.
+    """
+    part = F.shiftright("h", 48)
+    left = sample
+    for r in sorted(keyed.groupBy(part.alias("r")).count().collect(), key=lambda r: r["r"]):
+        left -= r["count"]
+        if left <= 0:
+            return part <= r["r"]
+    return F.lit(True)
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, p: ClassifierParameters = ClassifierParameters(), folds: int = 5, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -212,8 +226,9 @@ def quality_scores(
     features = stored(pooled(rows, context_vectors(rows, p), p))
     known = labels.where("label is not null").groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     train_rows = features.join(known.where(fold("id", folds) != 0), "id")
+    keyed = train_rows.withColumn("h", F.xxhash64("id", F.lit(p.seed)))
     picked = (
-        train_rows.withColumn("h", F.xxhash64("id", F.lit(p.seed))).orderBy("h", "id").limit(p.sample)
+        keyed.where(_below_cut(keyed, p.sample)).orderBy("h", "id").limit(p.sample)
         .select("features", "label", (F.pmod("h", F.lit(5)) == 0).alias("check")).collect()
     )
     x = np.array([r["features"] for r in picked], dtype=np.float64).reshape(len(picked), 2 * p.dims + 1)
