@@ -8,6 +8,7 @@ from traceframe.functions.stats import r
 from traceframe.plans import views as V
 from traceframe.plans.registry import query
 from traceframe.session import checkpointed
+from traceframe.sources import json_ranges as Jr
 from traceframe.sources import readers as Rd
 from traceframe.sources import writers as Wr
 from traceframe.streaming.jobs import work_folder
@@ -27,6 +28,19 @@ def _(spark, d):
     return rows.select(F.col("path").alias("event_id"), F.col("row.k").alias("k"))
 
 
+@query(
+    "sc02_split_document",
+    """SELECT event_id, user_id, event_type, value, props, 'events' AS frame FROM events""",
+)
+def _(spark, d):
+    # few long documents, read back in ranges
+    columns = ("event_id", "user_id", "event_type", "value", "props")
+    folder = work_folder(spark)
+    Jr.write_json_rows(V.table(spark, d, "events").select(*columns), folder, frame="events")
+    rows, _ = Jr.json_rows(spark, folder, "rows", "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE, props STRING", 1 << 20)
+    return rows.select("row.*", "frame")
+
+
 @query(
     "sc03_reference_set",
     """SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 2 THEN 'frame_stale' WHEN l.doc_id IS NULL THEN 'no_entry' WHEN n_chars < 50 THEN 'no_strokes' WHEN n_chars % 5 = 0 THEN 'no_registration' END AS reason,
