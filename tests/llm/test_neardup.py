@@ -39,6 +39,25 @@ def test_against_all_pairs(messy, messy_rows, p):
     assert got == plain(messy_rows)
 
 
+@pytest.mark.parametrize("p", [NearDup(), NearDup(block_docs=1)])
+def test_repeated_ids_with_other_texts(spark, p):
+    rng = np.random.default_rng(5)
+    text = lambda: [f"w{k}" for k in rng.integers(10**6, size=300)]
+
+    def near(words):
+        return " ".join([*words[:150], "changed", *words[151:]])
+
+    a, b, c, d, e = text(), text(), text(), text(), text()
+    rows = [
+        (1, " ".join(a)), (2, near(a)), (5, " ".join(b)), (2, near(b)),
+        (3, " ".join(c)), (4, " ".join(c)), (4, " ".join(d)), (7, near(d)), (8, ""), (8, near(c)), (8, None),
+        (9, " ".join(e)), (9, "alone"), (10, "alone"), (11, None), (12, near(e)), (12, near(e)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(df, p).collect()), key=str)
+    assert got == plain(rows)
+
+
 def test_real_slice(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]

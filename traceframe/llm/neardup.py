@@ -110,27 +110,30 @@ class _Signer:
 
 
 def signatures(docs: DataFrame, p: NearDup, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, d1, d2, bands, sketch) of every row; bands and sketch are null for an empty set."""
+    """(id, h, n_shingles, d1, d2, bands, sketch) of every row, `h` a hash of its text; bands and sketch are null for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = _Signer(p)
         for whole in batches:
-            for batch in pieces_of(whole, 1):
-                rows = [(len(s), *(signer.sign(s) if len(s) else (0, 0, None, None))) for s in shingle_sets(batch.column(1), p.shingle)]
+            for batch in pieces_of(whole, 2):
+                rows = [(len(s), *(signer.sign(s) if len(s) else (0, 0, None, None))) for s in shingle_sets(batch.column(2), p.shingle)]
                 n, d1, d2, bands, sketch = map(list, zip(*rows))
                 signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), signed(d1), signed(d2), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                    names=["id", "n_shingles", "d1", "d2", "bands", "sketch"],
+                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), signed(d1), signed(d2), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                    names=["id", "h", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"id {kind}, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
-    return docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(sign, schema)
+    schema = f"id {kind}, h long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
+    return docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(sign, schema)
 
 
 def _links(table: pa.Table, p: NearDup) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of documents and of the smallest document each is connected with, through exact links inside the table."""
+    """Positions of rows and of the smallest row each is connected with, through exact links inside the table.
+
+    Rows are ordered by id; those of one id are connected from the start.
+    """
     n = table.num_rows
     block = table["block"].to_numpy()
     across = table["i"][0].as_py() != table["j"][0].as_py()
@@ -140,7 +143,8 @@ def _links(table: pa.Table, p: NearDup) -> tuple[np.ndarray, np.ndarray]:
         for small in pieces_of(piece, 0):
             sets.extend(shingle_sets(small.column(0), p.shingle))
     sizes = np.array([len(s) for s in sets])
-    root = np.arange(n)
+    ids = table["id"].to_numpy()
+    root = np.searchsorted(ids, ids)
     most = p.most_odd_bits()
     for i in range(n - 1):
         later = np.arange(i + 1, n)
@@ -185,13 +189,14 @@ def near_duplicates(
     ties = values.join(pivots, "band").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     groups = components(ties)
 
-    nodes = groups.join(full, groups.node == full.id).select("id", "component", "n_shingles", "sketch").dropDuplicates(["id"])
+    nodes = groups.join(full, groups.node == full.id).select("id", "h", "component", "n_shingles", "sketch")
+    nodes = nodes.dropDuplicates(["id", "h"])
     sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
     blocks = F.greatest(F.ceil(F.col("n") / p.block_docs), F.ceil(F.col("w") / p.block_shingles)).cast("int")
     nodes = nodes.join(sizes.select("component", blocks.alias("blocks")), "component")
     nodes = nodes.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where("id is not null")
-    rows = nodes.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("id is not null")
+    rows = nodes.join(texts, ["id", "h"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "blocks", "id", "sketch", "text"
     )
@@ -209,12 +214,18 @@ def near_duplicates(
     trees = stored(grouped(rows, ["component", "i", "j"], link, f"id {kind}, root {kind}, blocks int"))
     # groups of one block are decided; those of several meet again
     split = components(trees.where("blocks > 1").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    whole = trees.where("blocks = 1").groupBy("id").agg(F.min("root").alias("component_id"))
-    # a row of a repeated id may lie in several classes: all labels of an id and of its classes are joined
-    labels = whole.unionByName(split.select(F.col("node").alias("id"), F.col("component").alias("component_id")))
+    whole = trees.where("blocks = 1").groupBy(F.col("id").alias("rep")).agg(F.min("root").alias("label"))
+    labels = whole.unionByName(split.select(F.col("node").alias("rep"), F.col("component").alias("label")))
     member = signed.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
-    member = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "rep", "id"))
+    member = member.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).join(labels, "rep", "left")
+    member = stored(member.select("id", "n_shingles", F.coalesce("label", "rep").alias("label")))
+    # rows of a repeated id may have got several labels: these are one
+    several = member.where("id is not null").groupBy("id").agg(F.min("label").alias("least"), F.max("label").alias("top")).where("least <> top")
+    several = stored(member.join(several, "id").select(F.col("label").alias("a"), F.col("least").alias("b")))
+    if several.limit(1).count():
+        joined = components(several).withColumnRenamed("node", "label")
+        member = member.join(joined, "label", "left").withColumn("label", F.coalesce("component", "label"))
+    component = F.col("label")
     return member.select(
         F.col("id").alias(id_column), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
