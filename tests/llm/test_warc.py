@@ -7,7 +7,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from traceframe.llm.warc import Predicates, archive_pages, read_records, read_warc, record
+from traceframe.llm.warc import Predicates, archive_pages, gzip_member, read_records, read_warc, record
 
 
 @pytest.fixture(scope="module")
@@ -43,15 +43,30 @@ def test_empty_table(pages):
     assert archive_pages(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("packed", ["plain", "members", "one member"])
+@pytest.mark.parametrize("packed", ["plain", "members", "one member", "one member with lengths"])
 def test_files_of_other_writers(packed):
     records = [record({"WARC-Type": "response", "WARC-Record-ID": f"<{i}>", "Content-Type": "application/http"}, {"Content-Length": "70000"}, b"p%d" % i * 35000) for i in range(3)]
     records.insert(1, record({"WARC-Type": "warcinfo", "WARC-Record-ID": "<info>", "Content-Type": "text/plain"}, {}, b"note"))
     if packed == "one member":
-        pytest.skip("the format wants one member for each record")
-    data = b"".join(gzip.compress(r) if packed == "members" else r for r in records)
+        data = gzip.compress(b"".join(records))
+    elif packed == "one member with lengths":
+        data = gzip_member(b"".join(records[:3])) + gzip_member(records[3])
+    else:
+        data = b"".join(gzip.compress(r) if packed == "members" else r for r in records)
     tests = Predicates(among=[("record_type", frozenset(["response"]))])
     rows = list(read_records(io.BytesIO(data), "f", tests, True))
     assert [r[2] for r in rows] == ["<0>", "<1>", "<2>"]
     assert all(len(r[-1]) == 70000 for r in rows)
     assert [r[-1] for r in read_records(io.BytesIO(data), "f", tests, False)] == [None] * 3
+
+
+@pytest.mark.parametrize("data", [b"no record at all\r\n\r\n", b"WARC/1.1\r\nContent-Length: many\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"), gzip.compress(b"WARC/1.1\r\n" * 99)[:40], b"WARC/1.1\r\nx: y"])
+def test_broken_files_are_refused_by_name(data):
+    with pytest.raises(ValueError, match="f.warc, record at byte 0"):
+        list(read_records(io.BytesIO(data), "f.warc", Predicates(), True))
+
+
+def test_a_very_long_payload(spark):
+    long = "é" * 3_000_000
+    back = archive_pages(spark.createDataFrame([(1, "u", long), (2, "u", long)], "page_id long, url string, html string")).collect()
+    assert sorted((r["record_type"], r["payload"] and len(r["payload"])) for r in back) == [("response", 6_000_000), ("revisit", None)]

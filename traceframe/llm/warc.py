@@ -3,7 +3,8 @@
 Reading. Files are planned into partitions by size. The source takes equality, membership and prefix predicates on the
 record's own columns: a record's headers are inflated first, and a record that fails a predicate, or whose payload is not wanted
 (`payload` option `false`), is left there. If its gzip member tells its length (extra field `sl`) the reader jumps to the
-next one; otherwise the rest is inflated in pieces and dropped. Paths are opened through pyarrow's file systems, so local,
+next one; otherwise the rest is inflated in pieces and dropped. A member may hold several records; they share its offset. A file
+that breaks the format (no headers within `MOST_HEADERS` bytes, a length that is no number, an early end) is refused by name. Paths are opened through pyarrow's file systems, so local,
 HDFS and object-store URIs work alike from every executor.
 
 Writing. One task writes one or more files of whole records, one gzip member for each record. A task that runs again writes
@@ -45,6 +46,7 @@ COLUMN_OF = {
 }
 GZIP_HEAD = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff"  # magic, deflate, extra field, no time, unknown system
 CHUNK = 1 << 16
+MOST_HEADERS = 16 << 20
 
 
 def located(uri: str) -> tuple[fs.FileSystem, str]:
@@ -79,6 +81,8 @@ class _Source:
         self.held = b""
         self.at = 0
         self.zip = self.start = self.jump = None
+        self.plain = b""
+        self.left = 0  # plain bytes of the member that are not used yet, where it tells its length
 
     def _raw(self, n: int) -> bytes:
         out, self.held = self.held[:n], self.held[n:]
@@ -87,7 +91,16 @@ class _Source:
         return out
 
     def open_record(self) -> bool:
-        """Stand at the next record; False at the end of the file."""
+        """Stand at the next record, in the same gzip member if it goes on; False at the end of the file."""
+        while self.zip is not None:
+            while self.plain.startswith(b"\r\n"):
+                self._use(2)
+            if len(self.plain) >= 2:
+                return True
+            if not self.more():
+                if self.plain:
+                    raise EOFError("a record ends early")
+                break
         while True:
             self.start = self.stream.tell() - len(self.held)
             two = self._raw(2)
@@ -104,10 +117,16 @@ class _Source:
                 extra = self._raw(struct.unpack("<H", head[10:])[0])
                 self.held = extra + self.held
                 if extra[:2] == b"sl" and len(extra) >= 20:
-                    self.jump = self.start + struct.unpack("<Q", extra[4:12])[0]
+                    size, self.left = struct.unpack("<QQ", extra[4:20])
+                    self.jump = self.start + size
             self.held = head + self.held
         return True
 
+    def _use(self, n: int) -> bytes:
+        out, self.plain = self.plain[:n], self.plain[n:]
+        self.left -= len(out)
+        return out
+
     def more(self) -> bool:
         """Add to `plain`; False when the member or the file ends."""
         if self.zip is None:
@@ -128,19 +147,19 @@ class _Source:
         at = 0
         while (at := self.plain.find(mark, max(0, at - len(mark)))) < 0:
             at = len(self.plain)
+            if at > MOST_HEADERS:
+                raise ValueError("headers do not end")
             if not self.more():
                 raise EOFError("headers end early")
-        out, self.plain = self.plain[:at], self.plain[at + len(mark) :]
-        return out
+        return self._use(at + len(mark))[:at]
 
     def take(self, n: int) -> bytes:
         parts, have = [], 0
         while have < n:
             if not self.plain and not self.more():
                 raise EOFError("a block ends early")
-            parts.append(self.plain[: n - have])
+            parts.append(self._use(n - have))
             have += len(parts[-1])
-            self.plain = self.plain[len(parts[-1]) :]
         return b"".join(parts)
 
     def leave(self, left: int) -> None:
@@ -149,13 +168,15 @@ class _Source:
             here = self.stream.tell() - len(self.held) - len(self.plain)
             self.stream.seek(here + left)
             self.held = self.plain = b""
-        elif self.jump is not None:
+        elif self.jump is not None and self.left - left <= 4:  # only the blank lines after the record are left
             self.stream.seek(self.jump)
             self.held = self.plain = b""
+            self.zip = None
         else:
-            self.plain = b""
-            while self.more():
-                self.plain = b""
+            while left:
+                if not self.plain and not self.more():
+                    raise EOFError("a block ends early")
+                left -= len(self._use(left))
 
 
 def _fields(lines: list[str]) -> dict[str, str]:
@@ -206,15 +227,25 @@ class Predicates:
 
 
 def read_records(stream, name: str, tests: Predicates, payload: bool) -> Iterator[tuple]:
-    """Rows of SCHEMA for the records of an open file that pass `tests`."""
+    """Rows of SCHEMA for the records of an open file that pass `tests`; a broken file is refused with its name and the place."""
     source = _Source(stream)
+    try:
+        yield from _records(source, name, tests, payload)
+    except (EOFError, ValueError, zlib.error) as problem:
+        raise ValueError(f"{name}, record at byte {source.start}: {problem}") from problem
+
+
+def _records(source: _Source, name: str, tests: Predicates, payload: bool) -> Iterator[tuple]:
     while source.open_record():
         start = source.start
         lines = source.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"{name}: no record at byte {start}")
+            raise ValueError("no record")
         head = _fields(lines[1:])
-        length = int(head.get("content-length", 0))
+        told = head.get("content-length", "0")
+        if not (told.isascii() and told.isdigit()):
+            raise ValueError(f"Content-Length {told[:40]!r} is no number")
+        length = int(told)
         columns = {c: head.get(h) for c, h in COLUMN_OF.items()}
         if not tests.hold(columns):
             source.leave(length)
@@ -344,7 +375,7 @@ def write_warc(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00
         done: list[tuple[str, int, int]] = []
         stream, n, size = None, 0, 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for lo in range(0, batch.num_rows, 64) for r in batch.slice(lo, 64).to_pylist()):
                 if stream is None:
                     name = f"{stem}-{len(done):04d}.warc.gz"
                     stream, n, size = system.open_output_stream(f"{base}/{name}", compression=None), 0, 0
