@@ -33,6 +33,8 @@ from traceframe.llm.common import _powers, mix, squeezed_text, stored, text_byte
 from traceframe.llm.units import apart, merged
 
 SEGMENT = 1 << 19
+#: suffixes whose intervals are extended together
+EXPANDED = 1 << 19
 _POSITION = 20
 
 
@@ -59,27 +61,38 @@ def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
     bits = int(text.max()).bit_length() + 1
     h = 1 << (62 // bits).bit_length() - 1
     packed = np.zeros(n, dtype=np.int64)
-    padded = np.concatenate([text + 1, np.zeros(h, dtype=np.int64)])
     for k in range(h):
-        packed = (packed << bits) | padded[k : k + n]
-    order = np.argsort(packed, kind="stable")
+        packed <<= bits
+        packed[: n - k] += text[k:]
+        packed[: n - k] += 1
+    order = np.argsort(packed, kind="stable").astype(np.int32)
+    packed = packed[order]
     new = np.ones(n, dtype=bool)
-    new[1:] = packed[order[1:]] != packed[order[:-1]]
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # rank: place of the first equal
-    rank = np.zeros(n + 1, dtype=np.int64)
+    np.not_equal(packed[1:], packed[:-1], out=new[1:])
+    del packed
+    place = np.arange(n, dtype=np.int32)
+    rank = np.zeros(n + 1, dtype=np.int32)
+    first = np.maximum.accumulate(np.where(new, place, np.int32(0)))  # rank: place of the first equal
     rank[order] = first + 1
     while h < length:
-        open_ = np.flatnonzero(~new | ~np.append(new[1:], True))
+        same = ~new
+        same[:-1] |= ~new[1:]
+        open_ = np.flatnonzero(same).astype(np.int32)
+        del same
         if not len(open_):
             break
         at = order[open_]
-        key = rank[at] * (n + 1) + rank[np.minimum(at + h, n)]
-        by = np.argsort(key, kind="stable")
+        key = rank[at].astype(np.int64)
+        key *= n + 1
+        key += rank[np.minimum(at.astype(np.int64) + h, n)]
+        by = np.argsort(key, kind="stable").astype(np.int32)
         order[open_] = at[by]
         key = key[by]
+        del at, by
         new[open_[1:]] = key[1:] != key[:-1]
         new[open_[0]] = True
-        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        del key
+        np.maximum.accumulate(np.where(new, place, np.int32(0)), out=first)
         rank[order[open_]] = first[open_] + 1
         h *= 2
     return order
@@ -94,51 +107,80 @@ def short_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarr
     """
     n = len(text)
     before = text[order - 1]  # the transform; the text is a ring, and its last symbol occurs once
-    last_first = np.empty(n, dtype=np.int64)
-    last_first[np.argsort(before, kind="stable")] = np.arange(n)
+    last_first = np.empty(n, dtype=np.int32)
+    last_first[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
+    del before
     head = text[order]
     value = np.full(n + 1, -1, dtype=np.int32)
     value[0] = value[n] = 0
-    lb, rb = np.array([0]), np.array([n - 1])
-    for depth in range(length):
-        width = rb - lb + 1
-        which = np.repeat(np.arange(len(lb)), width)
-        place = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(lb, width)
-        to = last_first[place]
-        by = np.argsort(which * n + to, kind="stable")
-        which, to = which[by], to[by]
-        cut = np.ones(len(to), dtype=bool)
-        cut[1:] = (which[1:] != which[:-1]) | (head[to[1:]] != head[to[:-1]])
-        start = np.flatnonzero(cut)
-        lb, rb = to[start], to[np.append(start[1:], len(to)) - 1]
-        fresh = value[rb + 1] < 0
-        lb, rb = lb[fresh], rb[fresh]
-        value[rb + 1] = depth
-        if not len(lb):
+    # the interval of the empty word holds every suffix: its parts are the runs of equal first symbols
+    lb = np.flatnonzero(np.append(True, head[1:] != head[:-1])).astype(np.int32)
+    rb = np.append(lb[1:] - 1, n - 1).astype(np.int32)
+    fresh = value[rb + 1] < 0
+    lb, rb = lb[fresh], rb[fresh]
+    value[rb + 1] = 0
+    for depth in range(1, length):
+        # intervals of one depth are disjoint, so they may be extended a slice at a time
+        ends = np.cumsum(rb - lb + 1, dtype=np.int64)
+        lo, left, right = 0, [], []
+        while lo < len(lb):
+            done = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + EXPANDED, side="right")))
+            a, b = _extended(lb[lo:hi], rb[lo:hi], last_first, head)
+            fresh = value[b + 1] < 0
+            a, b = a[fresh], b[fresh]
+            value[b + 1] = depth
+            left.append(a)
+            right.append(b)
+            lo = hi
+        if not left:
             break
+        lb, rb = np.concatenate(left), np.concatenate(right)
     return value[:n]
 
 
+def _extended(lb: np.ndarray, rb: np.ndarray, last_first: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The intervals of cw for all c before w, for intervals [lb, rb] of words w."""
+    width = rb - lb + 1
+    ends = np.cumsum(width, dtype=np.int64)
+    which = np.repeat(np.arange(len(lb), dtype=np.int32), width)
+    to = last_first[np.arange(ends[-1]) + np.repeat(lb - (ends - width), width)]
+    by = np.argsort(which.astype(np.int64) * len(head) + to, kind="stable")
+    which, to = which[by], to[by]
+    cut = np.ones(len(to), dtype=bool)
+    cut[1:] = (which[1:] != which[:-1]) | (head[to[1:]] != head[to[:-1]])
+    start = np.flatnonzero(cut)
+    return to[start], to[np.append(start[1:], len(to)) - 1]
+
+
 def repeated_places(contexts: list[bytes], weights: np.ndarray, length: int) -> list[np.ndarray]:
     """For each context the starts of its `length`-byte strings that occur twice or more, counted with the weights."""
     sizes = np.array([len(c) for c in contexts])
     total = int(sizes.sum()) + len(contexts)
-    text = np.empty(total, dtype=np.int64)
+    text = np.empty(total, dtype=np.int32)
     start = np.concatenate([[0], np.cumsum(sizes + 1)])
     body = np.ones(total, dtype=bool)
     body[start[1:] - 1] = False
-    text[body] = np.frombuffer(b"".join(contexts), dtype=np.uint8).astype(np.int64) + len(contexts)
+    text[body] = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    text[body] += np.int32(len(contexts))
     text[~body] = np.arange(len(contexts))  # ends differ from each other, so nothing common goes past one
+    del body
     order = suffix_order(text, length)
     common = short_prefixes(text, order, length)
-    group = np.cumsum(common >= 0) - 1
-    owner = np.repeat(np.arange(len(contexts)), sizes + 1)
-    whole = np.arange(total) + length <= np.repeat(start[1:] - 1, sizes + 1)
-    times = np.bincount(group, weights=weights[owner[order]] * whole[order])
-    place = order[(times[group] >= 2) & whole[order]]
+    del text
+    group = np.cumsum(common >= 0, dtype=np.int32) - np.int32(1)
+    del common
+    owner = np.repeat(np.arange(len(contexts), dtype=np.int32), sizes + 1)
+    room = np.repeat((start[1:] - 1).astype(np.int32), sizes + 1) - np.arange(total, dtype=np.int32)
+    whole = (room >= length)[order]
+    del room
+    # only whole strings count, so only they are weighed
+    group, order = group[whole], order[whole]
+    times = np.bincount(group, weights=weights[owner[order]])
+    place = order[times[group] >= 2]
     place.sort()
     cuts = np.searchsorted(place, start)
-    return [place[a:b] - s for a, b, s in zip(cuts[:-1], cuts[1:], start[:-1])]
+    return [place[a:b].astype(np.int64) - s for a, b, s in zip(cuts[:-1], cuts[1:], start[:-1])]
 
 
 # ---------------------------------------------------------------- contexts
@@ -328,16 +370,26 @@ def _indexed(rows: DataFrame, p: SuffixParameters) -> DataFrame:
             columns = list(zip(*spans)) or [(), (), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u1", "u2", "start", "stop"])
 
+        # a key is added only if there is room for all of it; one key alone has at most `limit` contexts
         held: list[tuple] = []
-        size, key = 0, None
+        new: list[tuple] = []
+        size = added = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > p.batch_bytes and row[0] != key:
-                    yield solve(held)
-                    held, size = [], 0
-                key = row[0]
-                held.append(row)
-                size += len(row[5])
+            for lo in range(0, batch.num_rows, 1000):
+                for row in zip(*(c.slice(lo, 1000).to_pylist() for c in batch.columns)):
+                    if new and row[0] != new[0][0]:
+                        if held and size + added > p.batch_bytes:
+                            yield solve(held)
+                            held, size = [], 0
+                        held += new
+                        size += added
+                        new, added = [], 0
+                    new.append(row)
+                    added += len(row[5])
+        if held and size + added > p.batch_bytes:
+            yield solve(held)
+            held = []
+        held += new
         if held:
             yield solve(held)
 
